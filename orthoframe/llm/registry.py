@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, mixing, packing, simhash, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_mixing": mixing.op1_mixing,
+        "op5_wavelet": wavelet.op5_wavelet,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op9_packing": packing.op9_packing,
+        "op10_simhash": simhash.op10_simhash,
     }
 
 
