@@ -114,7 +114,7 @@ def valid(kind: str, t: Column) -> Column:
     if kind == "phone":
         return F.length(_digits(t)).between(9, 15)
     if kind == "secret":
-        return (F.length(t) <= 256) & t.rlike("[0-9]") & t.rlike("[A-Za-z]") & (F.length(F.regexp_replace(t, "[0-9]+", "")) * 4 >= F.length(t))
+        return (F.length(t) <= 256) & t.rlike("[0-9]") & t.rlike("[A-Za-z]") & (F.length(F.regexp_replace(t, "[0-9]+", "")) * 10 >= F.length(t))
     return F.lit(True)
 
 
