@@ -77,16 +77,24 @@ def project(k: Mat, r: Mat, c: Vec, point: Vec) -> Vec:
     return dehomogenise(k @ (r @ sub(point, c)))
 
 
-def rectifying_rotation(r1: Mat, r2: Mat, z1: Vec, z2: Vec) -> Mat:
-    """Rows: base direction, its cross with the mean viewing direction, and the cross with that.
+def _vec(c: str) -> Vec:
+    return [F.col(c)[i] for i in range(3)]
+
+
+def with_rectifying_rotation(pairs: DataFrame) -> DataFrame:
+    """Adds R, whose rows are the base direction, its cross with the mean viewing direction, and
+    the cross of the base with that.
 
     The last row of K R is R's, as K's last row is (0, 0, 1); so it gives the viewing direction.
+    Each vector becomes a column before the next uses it, which keeps expressions short.
     """
-    base = sub(z2, z1)
-    seen = [unit([-x for x in r.rows[2]]) for r in (r1, r2)]
-    mean = unit(add(*seen))
-    across = cross(base, mean)
-    return Mat([unit(base), unit(across), unit(cross(base, across))])
+    look = [F.array(*unit([-x for x in Mat.of(f"{side}_rotation_matrix").rows[2]])) for side in ("left", "right")]
+    out = pairs.withColumns({"_base": F.array(*sub(centre("right_"), centre("left_"))), "_look1": look[0], "_look2": look[1]})
+    out = out.withColumn("_mean", F.array(*unit(add(_vec("_look1"), _vec("_look2")))))
+    out = out.withColumn("_across", F.array(*cross(_vec("_base"), _vec("_mean"))))
+    out = out.withColumn("_third", F.array(*cross(_vec("_base"), _vec("_across"))))
+    rows = Mat([unit(_vec(c)) for c in ("_base", "_across", "_third")])
+    return out.withColumn("R", rows.column()).drop("_base", "_look1", "_look2", "_mean", "_across", "_third")
 
 
 def rectify_pairs(pairs: DataFrame) -> DataFrame:
@@ -96,12 +104,14 @@ def rectify_pairs(pairs: DataFrame) -> DataFrame:
     camera matrix serves both, as in one survey.
     """
     r1, r2 = Mat.of("left_rotation_matrix"), Mat.of("right_rotation_matrix")
-    out = pairs.withColumn("R", rectifying_rotation(r1, r2, centre("left_"), centre("right_")).column())
+    out = with_rectifying_rotation(pairs)
     k, back = Mat.of("left_camera_matrix"), Mat.of("R").T
     undo = inverse_camera(k)
     # turned views are rotations, so the homographies' inverses need no general inverse
-    turned = {i: r @ back for i, r in ((1, r1), (2, r2))}
+    out = out.withColumns({f"_t{i}": (r @ back).column() for i, r in ((1, r1), (2, r2))})
+    turned = {i: Mat.of(f"_t{i}") for i in (1, 2)}
     out = out.withColumns({f"H{i}": ((k @ t) @ undo).column() for i, t in turned.items()} | {f"I{i}": ((k @ t.T) @ undo).column() for i, t in turned.items()})
+    out = out.drop("_t1", "_t2")
     xs, ys = [], []
     for i, side in ((1, "left"), (2, "right")):
         inverse = Mat.of(f"I{i}")

@@ -1,7 +1,7 @@
 """The survey's catalog as versioned snapshots of seven tables, and set-based queries over them.
 
 A write makes a new snapshot ``<root>/<table>/v=N`` and then moves the pointer file
-``<root>/<table>/_current``; readers see whole snapshots only. One writer at a time.
+``<root>/<table>/current.txt``; readers see whole snapshots only. One writer at a time.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ class Catalog:
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(self, table: str) -> int | None:
-        path, fs = self._path(f"{self.root}/{table}/_current")
+        path, fs = self._path(f"{self.root}/{table}/current.txt")
         if not fs.exists(path):
             return None
         return int(self.spark.read.text(path.toString()).first()[0])
@@ -51,11 +51,11 @@ class Catalog:
         schema = self.spark.createDataFrame([], CATALOG[table]).schema
         n = (self.version(table) or 0) + 1
         rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("overwrite").parquet(f"{self.root}/{table}/v={n}")
-        path, fs = self._path(f"{self.root}/{table}/_next")
+        path, fs = self._path(f"{self.root}/{table}/next.txt")
         out = fs.create(path, True)
         out.write(bytearray(f"{n}\n".encode()))
         out.close()
-        current, _ = self._path(f"{self.root}/{table}/_current")
+        current, _ = self._path(f"{self.root}/{table}/current.txt")
         fs.delete(current, False)
         fs.rename(path, current)
 

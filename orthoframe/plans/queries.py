@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import camera, rings
@@ -486,3 +488,71 @@ def q_rectification(spark: SparkSession, sf: str) -> DataFrame:
     p = p.withColumn("shift", camera.disparity_shift(F.col("mean_flying_height")))
     m = [rounded(F.col(h)[i][j]).alias(f"{h.lower()}{i}{j}") for h in ("R", "H1", "H2") for i in range(3) for j in range(3)]
     return p.select(F.col("left_img_id").alias("base"), F.col("right_img_id").alias("side"), *m, *[rounded(F.col(c)).alias(c) for c in ("x_min", "x_max", "y_min", "y_max")], "out_rows", "out_cols", "shift")
+
+
+# --- kernels (no SQL twin) -------------------------------------------------------------------
+
+
+def _tile_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.table(spark, sf, "embeddings").withColumn("e", F.slice("embedding", 1, fx.SIDE * fx.SIDE)).filter(F.size("e") == fx.SIDE * fx.SIDE)
+
+
+@query()
+def q_clean_mask(spark: SparkSession, sf: str) -> DataFrame:
+    """Validity masks after removal of specks, filling of holes and closing."""
+    from ..operators.morphology import clean_masks
+
+    side = F.lit(fx.SIDE)
+    mask = F.transform("e", lambda d: F.when(F.abs(d) < 0.4, 1).otherwise(0))
+    out = clean_masks(_tile_arrays(spark, sf).select("vec_id", side.alias("h"), side.alias("w"), mask.alias("mask")), "vec_id")
+    return out.select("vec_id", F.posexplode("mask").alias("pos", "mask")).filter("mask = 1").select("vec_id", "pos")
+
+
+@query()
+def q_warp(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles under a projective map, by output tiles."""
+    from ..operators.warping import warp_tiles
+
+    bytes_ = F.pandas_udf(lambda many: many.map(lambda e: np.asarray(e, "<f4").tobytes()), T.BinaryType())  # as readers give them
+    name = F.col("vec_id").cast("string")
+    tiles = _tile_arrays(spark, sf).select(name.alias("img"), F.lit(0).alias("ty"), F.lit(0).alias("tx"), F.lit(8).alias("h"), F.lit(8).alias("w"), bytes_("e").alias("data"))
+    matrix = F.array(*[F.array(*map(num, row)) for row in ((1.0, 0.1, 0.5), (-0.1, 1.0, 0.25), (0.001, 0.0, 1.0))])
+    maps = tiles.select("img", F.col("img").alias("out"), matrix.alias("matrix"), F.lit(10).alias("rows"), F.lit(9).alias("cols"))
+    return warp_tiles(tiles, maps, 8).select("out", "ty", "tx", "h", "w", F.crc32("data").alias("crc"))
+
+
+@query()
+def q_semi_global(spark: SparkSession, sf: str) -> DataFrame:
+    """Disparity of tile pairs by semi-global matching."""
+    from ..estimators import estimate
+
+    def picture(e, shift: int) -> bytes:
+        small = np.roll(np.abs(np.asarray(e).reshape(8, 8)), -shift, axis=1).clip(0, 1)
+        return np.kron(small, np.ones((6, 6)))[..., None].repeat(3, axis=2).astype("<f4").tobytes()
+
+    def image(shift: int):
+        return F.pandas_udf(lambda many: many.map(lambda e: picture(e, shift)), T.BinaryType())
+
+    rows = _tile_arrays(spark, sf).select(F.col("vec_id").alias("tile_id"), F.lit(48).alias("h"), F.lit(48).alias("w"), image(0)("e").alias("left"), image(1)("e").alias("right"))
+    return estimate(rows, "SGM", low=0, high=3).select("tile_id", "h", "w", F.crc32("disparity").alias("disparity"), F.crc32("mask").alias("mask"))
+
+
+@query()
+def q_multiview_cloud(spark: SparkSession, sf: str) -> DataFrame:
+    """Coloured points of bases with two sides, through rectified space."""
+    from ..operators.reconstruction import cloud
+
+    height = _height(spark, sf)
+    p = camera.rectify_pairs(fx.pairs(fx.cameras(spark, sf)))
+    shift = Mat.of("H_shift")
+    views = p.withColumns({"left_map": (Mat.of("H1") @ shift).column(), "right_map": (Mat.of("H2") @ shift).column()})
+    views = views.select(F.col("left_img_id").alias("base"), F.col("right_img_id").alias("side"), F.col("left_camera_matrix").alias("k"), "left_map", "right_map", "left_rotation_matrix", "right_rotation_matrix", *[f"{s}_{a}" for s in ("left", "right") for a in "xyz"])
+    px = fx.tiles(spark, sf).select(F.col("vec_id").alias("base"), "y", "x", "d")
+    pairs_ = views.select("base", "side")
+    # ground at the flying height lies at a disparity near focal length * base / height
+    far = pairs_.join(px, "base").join(F.broadcast(height)).withColumn("d", num(fx.FOCAL * 40) / F.col("mean_flying_height") + F.col("d"))
+    masks = far.select("base", "side", "y", "x", raster.consistent(F.abs(F.col("d")) - num(400), 50.0).alias("mask"))
+    n_sides = pairs_.groupBy("base").agg(F.count(F.lit(1)).alias("n_sides"))
+    colours = px.select("base", "y", "x", F.lit(1).alias("r"), F.lit(2).alias("g"), F.lit(3).alias("b"))
+    out = cloud(far.select("base", "side", "y", "x", "d"), masks, n_sides, views, colours)
+    return out.select("base", "y", "x", *[(F.floor(F.col(c) * num(1e3) + num(0.5)) / num(1e3)).alias(f"p{c.lower()}") for c in "XYZ"], "views", "r", "g", "b")
