@@ -11,8 +11,12 @@ from ..functions.camera import centre, ray, transfer
 from ..functions.linalg import Mat, midpoint, num
 
 
+#: World places; X and Y would clash with the pixel's x and y, as names are alike in both cases.
+WORLD = ("east", "north", "height")
+
+
 def triangulate(rows: DataFrame, by: Sequence[str] = ("base", "y", "x")) -> DataFrame:
-    """(by..., X, Y, Z, views): mean over sides of the midpoint between the two rays of a pixel.
+    """(by..., east, north, height, views): mean over sides of the midpoint between the two rays of a pixel.
 
     Needs x, y, d, k (camera matrix), left_map, right_map, left_rotation_matrix,
     right_rotation_matrix and centres left_x.. and right_x... Parallel rays give null points.
@@ -24,8 +28,13 @@ def triangulate(rows: DataFrame, by: Sequence[str] = ("base", "y", "x")) -> Data
     right = ray(F.col("right_px"), F.col("right_py"), k, Mat.of("right_rotation_matrix"))
     rays = sides.withColumns({f"r{i}": c for i, c in enumerate(left)} | {f"s{i}": c for i, c in enumerate(right)})
     point = midpoint(centre("left_"), [F.col(f"r{i}") for i in range(3)], centre("right_"), [F.col(f"s{i}") for i in range(3)])
-    each = rays.select(*by, *[c.alias(n) for c, n in zip(point, "XYZ", strict=True)])
-    return each.groupBy(*by).agg(*[F.avg(n).alias(n) for n in "XYZ"], F.count(F.lit(1)).alias("views"))
+    each = rays.select(*by, *[c.alias(n) for c, n in zip(point, WORLD, strict=True)])
+    return each.groupBy(*by).agg(*[F.avg(n).alias(n) for n in WORLD], F.count(F.lit(1)).alias("views"))
+
+
+def as_points(points: DataFrame) -> DataFrame:
+    """Triangulated and coloured pixels as cloud rows (base, X, Y, Z, r, g, b, views)."""
+    return points.select("base", *[F.col(w).alias(n) for w, n in zip(WORLD, "XYZ", strict=True)], "r", "g", "b", "views")
 
 
 def colour(points: DataFrame, pixels: DataFrame, by: Sequence[str] = ("base", "y", "x")) -> DataFrame:

@@ -555,4 +555,4 @@ def q_multiview_cloud(spark: SparkSession, sf: str) -> DataFrame:
     n_sides = pairs_.groupBy("base").agg(F.count(F.lit(1)).alias("n_sides"))
     colours = px.select("base", "y", "x", F.lit(1).alias("r"), F.lit(2).alias("g"), F.lit(3).alias("b"))
     out = cloud(far.select("base", "side", "y", "x", "d"), masks, n_sides, views, colours)
-    return out.select("base", "y", "x", *[(F.floor(F.col(c) * num(1e3) + num(0.5)) / num(1e3)).alias(f"p{c.lower()}") for c in "XYZ"], "views", "r", "g", "b")
+    return out.select("base", "y", "x", *[(F.floor(F.col(c) * num(1e3) + num(0.5)) / num(1e3)).alias(c) for c in triangulation.WORLD], "views", "r", "g", "b")

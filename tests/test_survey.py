@@ -108,7 +108,7 @@ def test_rectified_points_share_rows_and_triangulate_back(spark, survey):
     views = p.withColumns({"left_map": (Mat.of("H1") @ shift).column(), "right_map": (Mat.of("H2") @ shift).column()}).withColumn("k", F.col("left_camera_matrix"))
     frame = spark.createDataFrame(rows, "base int, n int, x double, y double, d double, left_img_id int").join(views.drop("base"), "left_img_id")
     for r in triangulation.triangulate(frame, ["base", "n"]).collect():
-        assert (r["X"], r["Y"], r["Z"]) == pytest.approx(world[r["base"], r["n"]], abs=1e-5)
+        assert (r["east"], r["north"], r["height"]) == pytest.approx(world[r["base"], r["n"]], abs=1e-5)
 
 
 def test_clouds_are_registered_replaced_and_deleted(spark, survey):
