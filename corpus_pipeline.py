@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orthoframe.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from orthoframe.llm import exact_dedup, mixing, packing, quality_rules, simhash_similar
 from orthoframe.llm.common import new_path, read
 
 
@@ -24,8 +24,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of documents that are similar (five-word shingles, 0.8) that with the smallest id."""
+    return simhash_similar.drop_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
