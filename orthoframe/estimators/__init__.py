@@ -56,15 +56,32 @@ def semi_global_estimator(low: int = -16, high: int = 16, factor: int = FACTOR)
 MEAN, SPREAD, MULTIPLE = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225), 128
 
 
+def load_network(model_path: str, make: Callable | None = None):
+    """A network on the CPU: TorchScript, or weights for the module that ``make()`` gives.
+
+    Weights are a state dictionary, in a ``.tar`` checkpoint under ``state_dict``; only tensors are
+    unpickled. Needs torch, which this library does not install.
+    """
+    import torch
+
+    path = str(model_path)
+    if make is None:
+        return torch.jit.load(path, map_location="cpu").eval()
+    weights = torch.load(path, map_location="cpu", weights_only=True)
+    model = make()
+    model.load_state_dict(weights["state_dict"] if path.endswith(".tar") else weights)
+    return model.eval()
+
+
 @register("CNN")
-def network_estimator(model_path: str) -> Estimator:
-    """A TorchScript stereo network from a file; needs torch, which this library does not install.
+def network_estimator(model_path: str, make: Callable | None = None) -> Estimator:
+    """A stereo network from a file, loaded once in a task (:func:`load_network`).
 
     Images are normalised and padded at top and right to multiples of 128, and the result cut.
     """
     import torch
 
-    model = torch.jit.load(str(model_path), map_location="cpu").eval()
+    model = load_network(model_path, make)
 
     def tensor(image: np.ndarray) -> torch.Tensor:
         h, w = image.shape[:2]

@@ -6,10 +6,16 @@ centres the columns ``x, y, z``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .linalg import Mat, Vec, add, cross, dehomogenise, num, scale, sub, unit
+from .linalg import Mat, Vec, add, dehomogenise, num, scale, sub
 
 
 def camera_matrix(c: Column, x0: Column, y0: Column, downsample: float = 1.0) -> Mat:
@@ -41,12 +47,6 @@ def centre(prefix: str = "") -> Vec:
     return [F.col(f"{prefix}{a}") for a in "xyz"]
 
 
-def inverse_camera(k: Mat) -> Mat:
-    """Inverse of a camera matrix without skew."""
-    f, g, zero, one = k.rows[0][0], k.rows[1][1], num(0), num(1)
-    return Mat([[one / f, zero, -k.rows[0][2] / f], [zero, one / g, -k.rows[1][2] / g], [zero, zero, one]])
-
-
 def footprint(flying_height: Column) -> Column:
     """Ring of four corners (x, y, z) on the ground, clockwise from the top left.
 
@@ -77,52 +77,67 @@ def project(k: Mat, r: Mat, c: Vec, point: Vec) -> Vec:
     return dehomogenise(k @ (r @ sub(point, c)))
 
 
-def _vec(c: str) -> Vec:
-    return [F.col(c)[i] for i in range(3)]
+_MATRICES = ("R", "H1", "H2", "I1", "I2", "H_shift")
+_BOUNDS = ("x_min", "x_max", "y_min", "y_max")
+_NEEDS = tuple(f"{side}_{c}" for side in ("left", "right") for c in ("x", "y", "z", "camera_matrix", "rotation_matrix", "nrows", "ncols"))
 
 
-def with_rectifying_rotation(pairs: DataFrame) -> DataFrame:
-    """Adds R, whose rows are the base direction, its cross with the mean viewing direction, and
-    the cross of the base with that.
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
-    The last row of K R is R's, as K's last row is (0, 0, 1); so it gives the viewing direction.
-    Each vector becomes a column before the next uses it, which keeps expressions short.
-    """
-    look = [F.array(*unit([-x for x in Mat.of(f"{side}_rotation_matrix").rows[2]])) for side in ("left", "right")]
-    out = pairs.withColumns({"_base": F.array(*sub(centre("right_"), centre("left_"))), "_look1": look[0], "_look2": look[1]})
-    out = out.withColumn("_mean", F.array(*unit(add(_vec("_look1"), _vec("_look2")))))
-    out = out.withColumn("_across", F.array(*cross(_vec("_base"), _vec("_mean"))))
-    out = out.withColumn("_third", F.array(*cross(_vec("_base"), _vec("_across"))))
-    rows = Mat([unit(_vec(c)) for c in ("_base", "_across", "_third")])
-    return out.withColumn("R", rows.column()).drop("_base", "_look1", "_look2", "_mean", "_across", "_third")
+
+def _rectified(p: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Rectification of a batch of pairs, as arrays with a row for each."""
+
+    def matrices(name: str) -> np.ndarray:
+        return np.array([[list(r) for r in m] for m in p[name]], float).reshape(-1, 3, 3)
+
+    r1, r2, k = (matrices(c) for c in ("left_rotation_matrix", "right_rotation_matrix", "left_camera_matrix"))
+    left, right = (p[[f"{s}_{a}" for a in "xyz"]].to_numpy(float) for s in ("left", "right"))
+    base = right - left
+    # the last row of K R is R's, as K's last row is (0, 0, 1); so it gives the viewing direction
+    mean = _unit(_unit(-r1[:, 2]) + _unit(-r2[:, 2]))
+    across = np.cross(base, mean)
+    out = {"R": np.stack([_unit(base), _unit(across), _unit(np.cross(base, across))], axis=1)}
+    undo, back = np.linalg.inv(k), out["R"].transpose(0, 2, 1)
+    corners = []
+    for i, r, side in ((1, r1, "left"), (2, r2, "right")):
+        turned = r @ back  # a rotation, so the homography's inverse needs no general inverse
+        out[f"H{i}"], out[f"I{i}"] = k @ turned @ undo, k @ turned.transpose(0, 2, 1) @ undo
+        rows, cols = p[f"{side}_nrows"].to_numpy(float), p[f"{side}_ncols"].to_numpy(float)
+        for x, y in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            corner = np.einsum("nij,nj->ni", out[f"I{i}"], np.stack([cols * x, rows * y, np.ones(len(p))], axis=1))
+            corners.append(corner[:, :2] / corner[:, 2:])
+    low, high = np.min(corners, axis=0), np.max(corners, axis=0)
+    out |= {"x_min": low[:, 0], "x_max": high[:, 0], "y_min": low[:, 1], "y_max": high[:, 1]}
+    out["H_shift"] = np.tile(np.eye(3), (len(p), 1, 1))
+    out["H_shift"][:, :2, 2] = np.ceil(low)
+    return out
 
 
 def rectify_pairs(pairs: DataFrame) -> DataFrame:
-    """Adds R, H1, H2, their inverses I1 and I2, bounds, H_shift, out_rows and out_cols to pairs of cameras.
+    """Adds R, H1, H2, their inverses I1 and I2, bounds, H_shift, out_rows and out_cols to pairs of
+    cameras with different centres.
 
     Needs left_/right_ columns x, y, z, camera_matrix, rotation_matrix, nrows, ncols. The left
-    camera matrix serves both, as in one survey.
+    camera matrix serves both, as in one survey. R's rows are the base direction, its cross with the
+    mean viewing direction, and the cross of the base with that. A chain of products would make
+    column expressions that grow with every step (and again wherever a filter on the result is
+    pushed through them), so batches of pairs go through NumPy over Arrow.
     """
-    r1, r2 = Mat.of("left_rotation_matrix"), Mat.of("right_rotation_matrix")
-    out = with_rectifying_rotation(pairs)
-    k, back = Mat.of("left_camera_matrix"), Mat.of("R").T
-    undo = inverse_camera(k)
-    # turned views are rotations, so the homographies' inverses need no general inverse
-    out = out.withColumns({f"_t{i}": (r @ back).column() for i, r in ((1, r1), (2, r2))})
-    turned = {i: Mat.of(f"_t{i}") for i in (1, 2)}
-    out = out.withColumns({f"H{i}": ((k @ t) @ undo).column() for i, t in turned.items()} | {f"I{i}": ((k @ t.T) @ undo).column() for i, t in turned.items()})
-    out = out.drop("_t1", "_t2")
-    xs, ys = [], []
-    for i, side in ((1, "left"), (2, "right")):
-        inverse = Mat.of(f"I{i}")
-        for x, y in ((0, 0), (0, 1), (1, 0), (1, 1)):
-            corner = [F.col(f"{side}_ncols") * num(x), F.col(f"{side}_nrows") * num(y), num(1)]
-            px, py = dehomogenise(inverse @ corner)
-            xs.append(px)
-            ys.append(py)
-    out = out.withColumns({"x_min": F.least(*xs), "x_max": F.greatest(*xs), "y_min": F.least(*ys), "y_max": F.greatest(*ys)})
-    shift = Mat([[num(1), num(0), F.ceil("x_min").cast("double")], [num(0), num(1), F.ceil("y_min").cast("double")], [num(0), num(0), num(1)]])
-    return out.withColumns({"H_shift": shift.column(), "out_rows": F.ceil(F.col("y_max") - F.col("y_min")).cast("int"), "out_cols": F.ceil(F.col("x_max") - F.col("x_min")).cast("int")})
+    matrix, double = T.ArrayType(T.ArrayType(T.DoubleType())), T.DoubleType()
+    schema = T.StructType([*pairs.schema.fields, *[T.StructField(m, matrix) for m in _MATRICES], *[T.StructField(c, double) for c in _BOUNDS], T.StructField("out_rows", T.IntegerType()), T.StructField("out_cols", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out = _rectified(batch.select(_NEEDS).to_pandas())
+            size = [pa.array(np.ceil(out[f"{a}_max"] - out[f"{a}_min"]).astype(np.int32)) for a in "yx"]
+            matrices = [pa.array(out[m].tolist(), pa.list_(pa.list_(pa.float64()))) for m in _MATRICES]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *matrices, *[pa.array(out[c]) for c in _BOUNDS], *size], schema.names)
+
+    return pairs.mapInArrow(run, schema)
 
 
 def disparity_shift(flying_height: Column, ratio: float = 0.9) -> Column:

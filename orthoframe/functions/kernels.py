@@ -203,3 +203,17 @@ def regress(att: np.ndarray, valid: np.ndarray) -> np.ndarray:
             if grown <= 0:
                 break
     return np.where(valid, first, value)
+
+
+def parallax_cost(query: np.ndarray, key: np.ndarray, previous: np.ndarray | None = None) -> np.ndarray:
+    """Matching cost (rows, cols, cols) of features (rows, cols, channels): products of a pixel with
+    all of its row in the other image over the channels' number, added to an earlier cost."""
+    cost = np.einsum("yic,yjc->yij", query, key) / query.shape[-1]
+    return cost if previous is None else cost + previous
+
+
+def resize(image: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    """Bilinear values at the centres of a new grid over the same area; edges go on outside."""
+    y = np.clip((np.arange(rows) + 0.5) * image.shape[0] / rows - 0.5, 0, image.shape[0] - 1)
+    x = np.clip((np.arange(cols) + 0.5) * image.shape[1] / cols - 0.5, 0, image.shape[1] - 1)
+    return sample(image.astype(float), *np.meshgrid(x, y))

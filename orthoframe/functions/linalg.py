@@ -25,6 +25,15 @@ def rounded(c: Column) -> Column:
     return F.floor(c * num(1e6) + num(0.5)) / num(1e6)
 
 
+def held(array: Column) -> Column:
+    """An array that the optimizer takes as a whole.
+
+    It would replace an entry of an array by the entry's expression; with many entries used many
+    times, expressions built in steps would grow by a factor for each step.
+    """
+    return F.transform(array, lambda x: x)
+
+
 def dot(a: Sequence[Column], b: Sequence[Column]) -> Column:
     out = a[0] * b[0]
     for x, y in zip(a[1:], b[1:], strict=True):
@@ -77,6 +86,10 @@ class Mat:
     def column(self) -> Column:
         return F.array(*[F.array(*r) for r in self.rows])
 
+    def held(self) -> Column:
+        """As :meth:`column`, but kept from being merged into what is built on it."""
+        return held(self.column())
+
     @property
     def T(self) -> Mat:
         return Mat(list(zip(*self.rows, strict=True)))

@@ -169,3 +169,10 @@ def cache_names(base: Column, side: Column) -> dict[str, Column]:
 def has_database(spark: SparkSession, name: str) -> bool:
     """Whether a database of that name exists, upper or lower case alike."""
     return name.lower() in {d.name.lower() for d in spark.catalog.listDatabases()}
+
+
+def create_database(spark: SparkSession, name: str) -> None:
+    """Makes a database if none of that name exists, upper or lower case alike."""
+    if not has_database(spark, name):
+        quoted = name.replace("`", "``")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{quoted}`")

@@ -10,9 +10,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import camera, rings
 from ..functions.camera import with_matrices
-from ..functions.linalg import num
-from . import catalog, raster, triangulation
+from ..functions.linalg import Mat, num
+from . import catalog, raster, spatial, triangulation
 from .catalog import Catalog
 
 
@@ -37,6 +38,74 @@ def build_catalog(spark: SparkSession, root: str, cameras: DataFrame, las: DataF
     return cat
 
 
+def side_by_side(cat: Catalog, pairs: DataFrame) -> DataFrame:
+    """(base_img_id, side_img_id) with all parameters of both images as left_ and right_."""
+    params = cat.read("image").select("img_id", "img_param_id").join(cat.read("image_param"), "img_param_id").drop("img_param_id")
+    out = pairs
+    for side, prefix in (("base_img_id", "left_"), ("side_img_id", "right_")):
+        named = params.select(*[F.col(c).alias(side if c == "img_id" else f"{prefix}{c}") for c in params.columns])
+        out = out.join(named, side)
+    return out
+
+
+def insert_pairs(cat: Catalog, pairs: DataFrame) -> DataFrame:
+    """Adds pairs (base_img_id, side_img_id) that the catalog lacks, with rectification and overlap.
+
+    Returns the new rows with their keys and parameters (W5).
+    """
+    known = cat.read("image_pair").select("base_img_id", "side_img_id")
+    new = pairs.select("base_img_id", "side_img_id").distinct().join(known, ["base_img_id", "side_img_id"], "left_anti")
+    rows = camera.rectify_pairs(side_by_side(cat, new)).withColumn("overlap", rings.overlap_ratio("left_geobound", "right_geobound"))
+    rows = rows.withColumnsRenamed({"H1": "h1", "H2": "h2", "H_shift": "h_shift", "R": "r", "left_camera_matrix": "k"})
+    order = ["base_img_id", "side_img_id"]
+    kept = cat.append("rectification_param", rows.select(*order, "overlap", "h1", "h2", "h_shift", "k", "r"), "rect_param_id", order)
+    cat.append("image_pair", kept.select(*order, "overlap", "rect_param_id"), "img_pair_id", order)
+    return kept
+
+
+def insert_stereo(cat: Catalog, spec: DataFrame, buffer_px: float = 300.0, cell: float | None = None) -> DataFrame:
+    """Adds multi-stereo rows of bases (base_img_id, side_img_ids) with the images that their common
+    footprint, eroded by the buffer on the ground, touches (W6, J7, A9, A16).
+
+    Footprints' boxes meet in grid cells before the exact test.
+    """
+    images = cat.read("image").select("img_id", "img_param_id").join(cat.read("image_param").select("img_param_id", "geobound"), "img_param_id")
+    members = spec.select("base_img_id", F.posexplode(F.concat(F.array("base_img_id"), "side_img_ids")).alias("pos", "img_id")).join(images, "img_id")
+    gsd = catalog.setting(cat.read("globals"), "estimated_gsd")
+    feet = members.groupBy("base_img_id").agg(F.sort_array(F.collect_list(F.struct("pos", "geobound"))).alias("m")).join(F.broadcast(gsd))
+    feet = feet.withColumn("ring", rings.common_area(F.transform("m", lambda x: x["geobound"]), F.col("estimated_gsd") * num(buffer_px))).filter(F.size("ring") > 0)
+
+    def box(ring: str, prefix: str) -> list:
+        def axis(a: int):
+            return F.transform(ring, lambda p: p[a])
+
+        sides = [axis(0), axis(1)]
+        return [c.alias(f"{prefix}{i}") for i, c in enumerate((F.array_min(sides[0]), F.array_min(sides[1]), F.array_max(sides[0]), F.array_max(sides[1])))]
+
+    left = feet.select("base_img_id", "ring", *box("ring", "a"))
+    right = images.select("img_id", "geobound", *box("geobound", "b"))
+    size = cell or float(right.agg(F.max(F.greatest(F.col("b2") - F.col("b0"), F.col("b3") - F.col("b1")))).first()[0] or 1.0)
+    a, b = [f"a{i}" for i in range(4)], [f"b{i}" for i in range(4)]
+    near = spatial.spatial_join(left, right, a, b, size, rings.box_touches([F.col(c) for c in a], [F.col(c) for c in b]))
+    touching = near.withColumn("hit", rings.touches("ring", "geobound")).filter("hit")
+    rows = touching.groupBy("base_img_id").agg(F.sort_array(F.collect_list("img_id")).alias("overlapping_bounds"))
+    rows = rows.withColumns({"pc_ready": F.lit(False), "pc_id": F.lit(None).cast("int")})
+    return cat.append("multi_stereo", rows, "ms_id", ["base_img_id"])
+
+
+def rectifying_maps(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """Maps for :func:`.warping.warp_tiles` that rectify both images of pairs.
+
+    ``pairs`` is the result of ``camera.rectify_pairs`` with ``shift``, and columns with the images'
+    names. The right image is shifted in the same pass, so it is sampled once.
+    """
+    shifted = Mat([[num(1), num(0), -F.col("shift").cast("double")], [num(0), num(1), num(0)], [num(0), num(0), num(1)]])
+    out = pairs.withColumns({"_left": (Mat.of("H1") @ Mat.of("H_shift")).held(), "_right": (Mat.of("H2") @ (Mat.of("H_shift") @ shifted)).held()})
+    pair = F.concat_ws("|", left, right)
+    both = F.array(*[F.struct(F.col(img).alias("img"), F.concat(pair, F.lit(f"|{side}")).alias("out"), F.col(f"_{side}").alias("matrix")) for img, side in ((left, "left"), (right, "right"))])
+    return out.select(F.explode(both).alias("m"), F.col("out_rows").alias("rows"), F.col("out_cols").alias("cols")).select("m.*", "rows", "cols")
+
+
 def consistency(left: DataFrame, right: DataFrame, keys: Sequence[str], cols: int, threshold: float = 0.75, wrap: bool = False) -> DataFrame:
     """(keys..., y, x, mask) of left pixels whose right partner agrees."""
     found = raster.gather(left, right, keys, cols, wrap)

@@ -545,7 +545,7 @@ def q_multiview_cloud(spark: SparkSession, sf: str) -> DataFrame:
     height = _height(spark, sf)
     p = camera.rectify_pairs(fx.pairs(fx.cameras(spark, sf)))
     shift = Mat.of("H_shift")
-    views = p.withColumns({"left_map": (Mat.of("H1") @ shift).column(), "right_map": (Mat.of("H2") @ shift).column()})
+    views = p.withColumns({"left_map": (Mat.of("H1") @ shift).held(), "right_map": (Mat.of("H2") @ shift).held()})
     views = views.select(F.col("left_img_id").alias("base"), F.col("right_img_id").alias("side"), F.col("left_camera_matrix").alias("k"), "left_map", "right_map", "left_rotation_matrix", "right_rotation_matrix", *[f"{s}_{a}" for s in ("left", "right") for a in "xyz"])
     px = fx.tiles(spark, sf).select(F.col("vec_id").alias("base"), "y", "x", "d")
     pairs_ = views.select("base", "side")

@@ -84,6 +84,16 @@ def test_attention_and_hole_filling():
     assert kernels.received(att).shape == (3, 6)
 
 
+def test_resize_and_costs():
+    image = np.arange(12.0).reshape(3, 4)
+    assert np.allclose(kernels.resize(image, 3, 4), image)
+    assert np.allclose(kernels.resize(np.full((3, 4), 2.5), 7, 9), 2.5)
+    assert np.allclose(kernels.resize(image, 6, 8).reshape(3, 2, 4, 2).mean(axis=(1, 3))[1, 1:3], image[1, 1:3])
+    q = np.random.default_rng(1).random((2, 5, 3))
+    assert np.allclose(kernels.parallax_cost(q, q)[1, 2, 4], q[1, 2] @ q[1, 4] / 3)
+    assert np.allclose(kernels.parallax_cost(q, q, np.ones((2, 5, 5))), kernels.parallax_cost(q, q) + 1)
+
+
 def test_rings():
     square = np.array([(0, 0), (0, 4), (4, 4), (4, 0)], float)
     tilted = np.array([(2, -1), (5, 2), (2, 5), (-1, 2)], float)

@@ -111,6 +111,52 @@ def test_rectified_points_share_rows_and_triangulate_back(spark, survey):
         assert (r["east"], r["north"], r["height"]) == pytest.approx(world[r["base"], r["n"]], abs=1e-5)
 
 
+def test_pairs_and_stereo_rows(spark, survey):
+    _, client = survey
+    cat = client.catalog
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (2, 1)], "base_img_id int, side_img_id int")
+    for _ in range(2):  # the second time there is nothing to add
+        reconstruction.insert_pairs(cat, pairs)
+    found = cat.read("image_pair").collect()
+    assert sorted((r["base_img_id"], r["side_img_id"]) for r in found) == [(1, 2), (2, 1), (2, 3)]
+    assert len({r["rect_param_id"] for r in found}) == 3 and all(0 < r["overlap"] < 1 for r in found)
+    named = catalog.named_pairs(cat.read("image_pair"), cat.read("image")).filter("base_name = 'img0.ppm' and side_name = 'img1.ppm'")
+    one = catalog.rectification(named, cat.read("rectification_param")).first()
+    r = np.array(one["r"])
+    assert np.allclose(r @ r.T, np.eye(3))
+    spec = spark.createDataFrame([(1, [2]), (1, [4]), (3, [2, 4])], "base_img_id int, side_img_ids array<int>").filter("base_img_id = 3 or side_img_ids[0] = 2")
+    reconstruction.insert_stereo(cat, spec, buffer_px=2.0)
+    from orthoframe.functions import rings
+
+    feet = {p["img_param_id"]: np.array(p["geobound"])[:, :2] for p in cat.read("image_param").collect()}
+    gsd = client.global_param("estimated_gsd")
+    for base, sides in ((1, [2]), (3, [2, 4])):
+        ring = feet[base]
+        for s in sides:
+            ring = rings.clip(ring, feet[s])
+        ring = rings.erode(ring, 2 * gsd)
+        row = cat.read("multi_stereo").filter(f"base_img_id = {base}").first()
+        want = [i for i in feet if rings.intersects(ring, feet[i])] if len(ring) else None
+        assert (row["overlapping_bounds"] if row else None) == want
+
+
+def test_rectified_images(spark, survey):
+    root, client = survey
+    p = camera.rectify_pairs(_pairs(client).filter("left_img_id = 1")).withColumns({"shift": F.lit(3), "left_name": F.lit("a"), "right_name": F.lit("b")})
+    maps = reconstruction.rectifying_maps(p, "left_name", "right_name")
+    dice = np.random.default_rng(2)
+    image = dice.random((40, 60)).astype("<f4")
+    tiles = spark.createDataFrame(warping.to_tiles("a", image, 16) + warping.to_tiles("b", image, 16), warping.TILES)
+    rows = warping.warp_tiles(tiles, maps, 16).collect()
+    q = p.first()
+    from orthoframe.functions.kernels import warp
+
+    for side, h, move in (("left", "H1", 0), ("right", "H2", 3)):
+        got = warping.from_tiles([r for r in rows if r["out"].endswith(side)], 16)
+        matrix = np.array(q[h]) @ np.array(q["H_shift"]) @ np.array([[1, 0, -move], [0, 1, 0], [0, 0, 1]])
+        assert np.allclose(got, warp(image, matrix, q["out_rows"], q["out_cols"]), atol=1e-5) and got.any()
+
+
 def test_clouds_are_registered_replaced_and_deleted(spark, survey):
     root, client = survey
     cat = client.catalog
