@@ -11,9 +11,13 @@ to ten bits, and balls of half that radius are far too large. So the same method
 3. In a bucket, neighbours in order of id are candidates. Candidates whose long fingerprints are
    far apart go; the others are verified by the exact similarity of their five-word shingles.
    Verified links give components.
-4. Buckets that then hold more than one component are seen again: every pair across components
-   is a candidate. So each pair that shares a bucket is either joined already or compared; no
-   candidate is capped, and a large group of near copies costs its members, not their pairs.
+4. Buckets that then hold several components are seen again: each document outside the component
+   of the bucket's best-linked document is a candidate with that one, and in buckets of at most
+   ``SMALL`` documents all pairs across components are candidates.
+
+So a large family of near copies costs its members, not their pairs. What this can miss: in a
+bucket of more than ``SMALL`` documents, a link between two documents neither of which is beside the
+other in any shared bucket nor best linked there, when no chain of other links joins them.
 
 Scattered edits down to a similarity of 0.8 leave two documents within two bits in some of ten
 blocks with a probability above 0.99; one long insertion at just 0.8, above 0.7.
@@ -43,6 +47,8 @@ PRINT_WIDTH = 2
 BLOCK_BITS = 32
 BLOCKS = 10
 WORDS = BLOCKS * BLOCK_BITS // 64
+#: Buckets of at most so many documents have all their pairs across components compared.
+SMALL = 16
 #: Candidates whose long fingerprints differ in more than this share of bits are not verified. At a
 #: similarity of 0.8 of the shorter shingles, 0.15 is expected and 0.25 is five deviations away.
 FAR = 0.25
@@ -173,14 +179,18 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     first = _verified(_near(chain, nodes), own, width, similarity)
     roots = materialize(components(first), "similar-roots")
     label = F.coalesce("root", "node")
-    named = materialize(met.join(roots, "node", "left").select("key", "node", label.alias("label")), "similar-labels")
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    again = materialize(named.join(mixed, "key", "left_semi"), "similar-mixed")
-    # components that meet in a bucket first, then their members: only pairs across are made
-    labels = again.select("key", "label").distinct()
-    meet = labels.withColumnRenamed("label", "label_a").join(labels.withColumnRenamed("label", "label_b"), "key").filter("label_a < label_b")
-    across = meet.join(again.withColumnsRenamed({"node": "a", "label": "label_a"}), ["key", "label_a"]).join(again.withColumnsRenamed({"node": "b", "label": "label_b"}), ["key", "label_b"])
-    across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).join(chain.distinct(), ["a", "b"], "left_anti")
+    degree = first.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    known = met.select("key", "node").join(roots, "node", "left").join(degree, "node", "left")
+    named = materialize(known.select("key", "node", label.alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")), "similar-labels")
+    hub = F.max(F.struct("degree", "node", "label"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), hub.alias("hub"), F.count(F.lit(1)).alias("n")).filter("low <> high")
+    mixed = mixed.select("key", "n", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label"))
+    again = materialize(named.select("key", "node", "label").join(mixed, "key"), "similar-mixed")
+    star = again.filter("label <> hub_label").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
+    small = again.filter(F.col("n") <= SMALL).select("key", "node", "label")
+    across = small.withColumnsRenamed({"node": "a", "label": "label_a"}).join(small.withColumnsRenamed({"node": "b", "label": "label_b"}), "key")
+    across = across.filter("label_a < label_b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    across = across.unionByName(star).distinct().join(chain.distinct(), ["a", "b"], "left_anti")
     second = _verified(_near(across, nodes), own, width, similarity)
     same = rows.join(twins.select("twin", "node"), "twin").select("id", "node")
     repeats = same.filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
