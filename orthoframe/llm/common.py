@@ -35,7 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/orthoframe/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/orthoframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Deletes all tables of this session from the shared folder; no earlier result may be read after."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/orthoframe/{sc.applicationId}")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:

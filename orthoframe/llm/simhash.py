@@ -122,7 +122,7 @@ def near_duplicates(
     least = materialize(roots.groupBy(label.alias("root")).agg(F.min("first").alias("component")), "print-least")
     named = roots.select("print", label.alias("root")).join(least, "root").select("print", "component")
     named = materialize(named, "print-named")
-    for table in (nodes, roots, least):
+    for table in (nodes, found, roots, least):
         drop_table(table)
     return rows.join(named, "print").select("id", "print", "component")
 

@@ -177,7 +177,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     met = materialize(_buckets(nodes), "similar-buckets")
     chain = met.filter("before is not null").select(F.col("node").alias("a"), F.col("before").alias("b"))
     first = _verified(_near(chain, nodes), own, width, similarity)
-    roots = materialize(components(first), "similar-roots")
+    roots = components(first)
     label = F.coalesce("root", "node")
     degree = first.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     known = met.select("key", "node").join(roots, "node", "left").join(degree, "node", "left")
@@ -196,7 +196,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     repeats = same.filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     found = components(first.unionByName(second).unionByName(repeats))
     out = materialize(rows.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component")), "similar-components")
-    for table in (rows, twins, met, first, roots, named, again, second):
+    for table in (rows, twins, met, first, roots, named, again, second, found):
         drop_table(table)
     return out
 
