@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from orthoframe.llm import simhash as sh
@@ -62,11 +63,13 @@ def test_all_links_within_two_bits(spark):
             prints.add(q)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     frame = spark.createDataFrame([(p, p) for p in signed], "node long, print long")
-    for distance in (1, 2, 3):
+    for distance in (0, 2, 4):
         found = union(signed, [tuple(r) for r in sh.links(frame, distance).collect()])
         near = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= distance]
         want = union(signed, near)
         assert found == want
+    with pytest.raises(ValueError, match="0, 2 or 4"):
+        sh.links(frame, 3)
 
 
 def test_near_duplicates_match_brute_force(docs):
