@@ -1,32 +1,33 @@
-"""Near-duplicates by similarity of word shingles, found with balls of SimHash blocks.
+"""Near-duplicates by similarity of word shingles, found with prefix filtering.
 
 Two documents are linked when the Jaccard similarity of their sets of word shingles (five words)
-is at least 0.8. A 64-bit fingerprint is too coarse for that: at 0.8, fingerprints differ in five
-to ten bits, and balls of half that radius are far too large. So the same method runs on blocks:
-
-1. A document's long fingerprint (``BLOCKS`` blocks of 32 bits) is the SimHash of its set of
-   shingles of ``PRINT_WIDTH`` words, short ones because an edit then changes fewer of them.
-2. For every block, the document emits all values within one bit (33 values). Documents that
-   are at most two bits apart in any block meet in a bucket.
-3. In a bucket, neighbours in order of id are candidates. Candidates whose long fingerprints are
-   far apart go; the others are verified by the exact similarity of their five-word shingles.
-   Verified links give components.
-4. Buckets that then hold several components are seen again: each document outside the component
-   of the bucket's best-linked document is a candidate with that one, and in buckets of at most
-   ``SMALL`` documents all pairs across components are candidates.
-
-So a large family of near copies costs its members, not their pairs. What this can miss: in a
-bucket of more than ``SMALL`` documents, a link between two documents neither of which is beside the
-other in any shared bucket nor best linked there, when no chain of other links joins them.
-
-Scattered edits down to a similarity of 0.8 leave two documents within two bits in some of ten
-blocks with a probability above 0.99; one long insertion at just 0.8, above 0.7.
-
-Equal word sequences are one node from the start. Links and fingerprints stay distributed.
+is at least 0.8. Every such pair is found, in buckets of any size:
+
+1. All documents put their shingles into one order. The larger of two sets at a similarity ``t``
+   has at most ``n - ceil(t * n)`` shingles of its own, and so has the smaller one; so the first
+   shared shingle is among the first ``n - ceil(t * n) + 1`` of both. A document emits those (its
+   prefix), and a bucket holds the documents that emit the same shingle (Chaudhuri et al., 2006;
+   Xiao et al., 2008).
+2. In a bucket, each document is a candidate with the one that has the shingle earliest. Verified
+   links give first components, so a family of copies costs its members and not their pairs.
+3. Then all pairs of a bucket across components are candidates, unless they can't be linked: what
+   comes after the shared shingle is too short in one of them (this holds for the bucket of the
+   first shared shingle), or their parity sketches differ in more bits than the sets may differ in
+   shingles. (A shingle flips one bit of a sketch, so no more bits differ than shingles do.)
+4. Candidates are verified by the exact similarity.
+
+Which order it is does not change the result, only the cost. Shingles that are common in a sample
+of the documents come last, by their number there; the others go by their hash. So a passage that
+many documents share makes no large buckets.
+
+Step 3 compares all members of a bucket that no link joined, which is quadratic in their number.
+
+Equal word sequences are one node from the start. Links and prefixes stay distributed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -39,21 +40,16 @@ from pyspark.sql.window import Window
 
 from .common import drop_table, fresh, materialize
 from .components import components
-from .simhash import _bit_counts, ball
 
 WIDTH = 5
 SIMILARITY = 0.8
-PRINT_WIDTH = 2
-BLOCK_BITS = 32
-BLOCKS = 10
-WORDS = BLOCKS * BLOCK_BITS // 64
-#: Buckets of at most so many documents have all their pairs across components compared.
-SMALL = 16
-#: Candidates whose long fingerprints differ in more than this share of bits are not verified. At a
-#: similarity of 0.8 of the shorter shingles, 0.15 is expected and 0.25 is five deviations away.
-FAR = 0.25
-#: Odd multipliers that turn one hash into several (fixed values, any would do).
-MULTIPLIERS = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(WORDS)]
+#: 64-bit words of the shortest parity sketch, which holds half as many shingles as bits.
+WORDS = 16
+#: One document in so many is sampled for common shingles.
+SAMPLED = 16
+#: Shingles that so many sampled documents have are common, of which at most ``COMMON`` go last.
+OFTEN = 3
+COMMON = 1 << 15
 
 
 def _hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -75,36 +71,70 @@ def _split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def long_print(text: str | None) -> tuple[bytes, np.ndarray]:
-    """(digest of the word sequence, long fingerprint as unsigned 64-bit words)."""
-    import xxhash
+def prefix_length(n: int, similarity: float) -> int:
+    """How many of its ``n`` shingles a set emits; one at least is shared at the similarity."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles by the low bits of their hashes, as 64-bit words.
+
+    There are ``WORDS`` words, doubled until the bits are twice the shingles; a half added to the
+    other by exclusive or is the sketch of half the length.
+    """
+    bits = max(64 * WORDS, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 64 * WORDS
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
 
-    words = _split(text)
-    hashes = _hashes(words, PRINT_WIDTH)
-    out = np.zeros(WORDS, np.uint64)
-    for k, m in enumerate(MULTIPLIERS):
-        mixed = hashes * np.uint64(m)
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        if len(mixed):
-            out[k] = np.packbits(2 * _bit_counts(mixed) > len(mixed), bitorder="little").view("<u8")[0]
-    return xxhash.xxh3_128_digest(b" ".join(words)), out
+def folded(words: np.ndarray) -> np.ndarray:
+    """The sketch of ``WORDS`` words."""
+    return np.bitwise_xor.reduce(words.reshape(-1, WORDS), axis=0)
 
 
-def _long_prints(docs: DataFrame) -> DataFrame:
-    """(id, text) -> (id, twin, prints)."""
-    schema = T.StructType([docs.schema["id"], T.StructField("twin", T.BinaryType()), T.StructField("prints", T.ArrayType(T.LongType()))])
+def _prefixes(docs: DataFrame, width: int, similarity: float, common: np.ndarray, times: np.ndarray) -> DataFrame:
+    """(id, text) -> (id, twin, n, prefix, sketch, folded); ``common`` shingles (ascending) go last, by ``times``."""
+    longs = T.ArrayType(T.LongType())
+    fields = [T.StructField("twin", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", longs), T.StructField("sketch", longs), T.StructField("folded", longs)]
+    schema = T.StructType([docs.schema["id"], *fields])
+
+    def prefix(hashes: np.ndarray) -> np.ndarray:
+        if len(common) and len(hashes):
+            at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+            hashes = hashes[np.argsort(np.where(common[at] == hashes, times[at], 0), kind="stable")]
+        return hashes[: prefix_length(len(hashes), similarity)].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            found = [long_print(t.as_py()) for t in batch.column("text")]
-            prints = pa.array([p.view(np.int64) for _, p in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([t for t, _ in found], pa.binary()), prints], ["id", "twin", "prints"])
+            words = [_split(t.as_py()) for t in batch.column("text")]
+            sets = [_hashes(w, width) for w in words]
+            sketches = [sketch(h) for h in sets]
+            columns = [
+                batch.column("id"),
+                pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
+                pa.array([len(h) for h in sets], pa.int32()),
+                pa.array([prefix(h) for h in sets], pa.list_(pa.int64())),
+                pa.array(sketches, pa.list_(pa.int64())),
+                pa.array([folded(x) for x in sketches], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) of the most common shingles of a sample of documents, and their numbers there."""
+    sample = docs.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
+    each = _shingle_sets(sample, width).select(F.explode("shingles").alias("shingle"))
+    times = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= OFTEN)
+    found = times.orderBy(F.desc("times"), "shingle").limit(COMMON).toPandas()
+    hashes = found["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found["times"].to_numpy(np.int64)[order]
+
+
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """(id, text) -> (id, shingles)."""
     schema = T.StructType([docs.schema["id"], T.StructField("shingles", T.ArrayType(T.LongType()))])
@@ -118,31 +148,51 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, before) of all buckets with two nodes or more; ``before`` is the bucket's last smaller node."""
-    blocks = []
-    for k in range(BLOCKS):
-        word = F.get("prints", F.lit(k * BLOCK_BITS // 64))
-        value = F.shiftrightunsigned(word, k * BLOCK_BITS % 64).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-        blocks.append(value.bitwiseOR(F.lit(k << BLOCK_BITS)))
-    masks = F.array(*[F.lit(m) for m in ball(1) if 0 <= m < 1 << BLOCK_BITS])
-    emitted = nodes.select("node", F.explode(F.array(*blocks)).alias("block")).select("node", "block", F.explode(masks).alias("mask"))
-    emitted = emitted.select("node", F.col("block").bitwiseXOR(F.col("mask")).alias("key"))
-    order = Window.partitionBy("key").orderBy("node")
-    met = emitted.select("key", "node", F.lag("node").over(order).alias("before"), F.lead("node").over(order).alias("after"))
-    return met.filter(F.col("before").isNotNull() | F.col("after").isNotNull()).select("key", "node", "before")
-
-
-def _distance(a: Column, b: Column) -> Column:
-    return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(WORDS)])
-
-
-def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) whose long fingerprints are not far apart."""
+    """(key, node, n, at, hub) of all buckets with two nodes or more; ``hub`` has the key earliest."""
+    emitted = nodes.select("node", "n", F.posexplode("prefix").alias("at", "key"))
+    bucket = Window.partitionBy("key")
+    met = emitted.select("key", "node", "n", "at", F.min(F.struct("at", "node")).over(bucket)["node"].alias("hub"), F.count(F.lit(1)).over(bucket).alias("members"))
+    return met.filter("members > 1").drop("members")
+
+
+def _bits_allowed(similarity: float) -> Column:
+    """In how many shingles two sets of ``n_a`` and ``n_b`` may differ."""
+    return (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) whose sizes and sketches allow a link."""
     out = pairs.distinct()
     for side in "ab":
-        out = out.join(nodes.select(F.col("node").alias(side), F.col("prints").alias(f"prints_{side}")), side)
-    near = _distance(F.col("prints_a"), F.col("prints_b")) <= int(FAR * BLOCKS * BLOCK_BITS)
-    return out.filter(near).select("a", "b")
+        out = out.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+    # sizes that allow a link are within a factor of 1 / similarity, so for 0.5 and more sketches are at most doubled
+    out = out.filter(F.least("n_a", "n_b") + 1e-6 >= F.greatest("n_a", "n_b") * F.lit(similarity))
+    half = F.least(F.size("sketch_a"), F.size("sketch_b"))
+
+    def fold(words: Column) -> Column:
+        twice = F.zip_with(F.slice(words, F.lit(1), half), F.slice(words, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(words) > half, twice).otherwise(words)
+
+    differ = F.zip_with(fold(F.col("sketch_a")), fold(F.col("sketch_b")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    bits = F.aggregate(differ, F.lit(0), lambda total, x: total + x)
+    unlike = (F.greatest(F.size("sketch_a"), F.size("sketch_b")) <= 2 * half) & (bits > _bits_allowed(similarity))
+    return out.filter(~unlike).select("a", "b")
+
+
+def _across(named: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of a bucket with different labels that may be linked."""
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    again = materialize(named.join(mixed, "key").join(nodes.select("node", "folded"), "node"), "similar-mixed")
+    sides = [again.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "at", "label", "folded")]) for side in "ab"]
+    # shingles that both may share, from the bucket's on, against those that they need
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    enough = rest + 1e-6 >= (F.col("n_a") + F.col("n_b")) * F.lit(similarity / (1 + similarity))
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.get("folded_a", F.lit(k)).bitwiseXOR(F.get("folded_b", F.lit(k)))) for k in range(WORDS)])
+    met = sides[0].join(sides[1], "key").filter((F.col("label_a") < F.col("label_b")) & enough & (bits <= _bits_allowed(similarity)))
+    pairs = met.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
+    out = materialize(_near(pairs, nodes, similarity), "similar-across")
+    drop_table(again)
+    return out
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -169,34 +219,27 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     empty table gives no rows.
     """
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).filter("id is not null")
-    rows = materialize(_long_prints(texts), "similar-prints")
+    rows = materialize(_prefixes(texts, width, similarity, *_common(texts, width)), "similar-prefixes")
     # equal word sequences: the smallest id stands for all
-    twins = materialize(rows.groupBy("twin").agg(F.min("id").alias("node"), F.first("prints").alias("prints")), "similar-twins")
-    nodes = twins.select("node", "prints")
+    first = F.first(F.struct("n", "prefix", "sketch", "folded")).alias("of")
+    twins = materialize(rows.groupBy("twin").agg(F.min("id").alias("node"), first), "similar-twins")
+    nodes = twins.select("node", "of.*")
+    same = materialize(rows.select("id", "twin").join(twins.select("twin", "node"), "twin").select("id", "node"), "similar-same")
+    drop_table(rows)
     own = texts.join(twins.select(F.col("node").alias("id")), "id", "left_semi")
     met = materialize(_buckets(nodes), "similar-buckets")
-    chain = met.filter("before is not null").select(F.col("node").alias("a"), F.col("before").alias("b"))
-    first = _verified(_near(chain, nodes), own, width, similarity)
+    star = met.filter("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
+    first = _verified(_near(star, nodes, similarity), own, width, similarity)
     roots = components(first)
-    label = F.coalesce("root", "node")
-    degree = first.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    known = met.select("key", "node").join(roots, "node", "left").join(degree, "node", "left")
-    named = materialize(known.select("key", "node", label.alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")), "similar-labels")
-    hub = F.max(F.struct("degree", "node", "label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), hub.alias("hub"), F.count(F.lit(1)).alias("n")).filter("low <> high")
-    mixed = mixed.select("key", "n", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label"))
-    again = materialize(named.select("key", "node", "label").join(mixed, "key"), "similar-mixed")
-    star = again.filter("label <> hub_label").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
-    small = again.filter(F.col("n") <= SMALL).select("key", "node", "label")
-    across = small.withColumnsRenamed({"node": "a", "label": "label_a"}).join(small.withColumnsRenamed({"node": "b", "label": "label_b"}), "key")
-    across = across.filter("label_a < label_b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    across = across.unionByName(star).distinct().join(chain.distinct(), ["a", "b"], "left_anti")
-    second = _verified(_near(across, nodes), own, width, similarity)
-    same = rows.join(twins.select("twin", "node"), "twin").select("id", "node")
+    named = met.join(roots, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("label"))
+    named = materialize(named, "similar-labels")
+    drop_table(met)
+    across = _across(named, nodes, similarity)
+    second = _verified(across, own, width, similarity)
     repeats = same.filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     found = components(first.unionByName(second).unionByName(repeats))
-    out = materialize(rows.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component")), "similar-components")
-    for table in (rows, twins, met, first, roots, named, again, second, found):
+    out = materialize(same.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component")), "similar-components")
+    for table in (same, twins, first, roots, named, across, second, found):
         drop_table(table)
     return out
 

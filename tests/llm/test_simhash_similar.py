@@ -60,3 +60,27 @@ def test_corpus(spark):
     want = plain([(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect()])
     got = {r["id"]: r["component"] for r in ss.similar_documents(frame).collect()}
     assert got == want
+
+
+def test_large_family_of_chained_copies(spark):
+    """390 copies of one text in chains of three; links join neither id-neighbours nor a hub."""
+    dice = random.Random(23)
+    words = [f"w{i}" for i in range(5000)]
+    base = [dice.choice(words) for _ in range(300)]
+
+    def edited(text, n):
+        other = list(text)
+        for at in dice.sample(range(len(other)), n):
+            other[at] = dice.choice(words)
+        return other
+
+    texts = []
+    for _ in range(130):
+        texts.append(edited(base, 4))
+        texts += [edited(texts[-1], 1)]
+        texts += [edited(texts[-1], 1)]
+    ids = dice.sample(range(10_000), len(texts))
+    data = [(i, " ".join(t)) for i, t in zip(ids, texts, strict=True)]
+    want = plain(data)
+    got = {r["id"]: r["component"] for r in ss.similar_documents(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) < 10
