@@ -84,3 +84,18 @@ def test_large_family_of_chained_copies(spark):
     want = plain(data)
     got = {r["id"]: r["component"] for r in ss.similar_documents(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert got == want and len(set(want.values())) < 10
+
+
+def test_extended_and_cut_copies_near_the_threshold(spark):
+    dice = random.Random(29)
+    words = [f"w{i}" for i in range(20_000)]
+    data = []
+    for pair in range(150):
+        base = [dice.choice(words) for _ in range(500)]
+        extra = [dice.choice(words) for _ in range(dice.randint(85, 122))]
+        at = dice.choice((0, 250, 500))
+        longer = base[:at] + extra + base[at:]
+        data += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(longer))] if pair % 2 else [(2 * pair, " ".join(longer)), (2 * pair + 1, " ".join(base))]
+    want = plain(data)
+    got = {r["id"]: r["component"] for r in ss.similar_documents(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) < 170
