@@ -11,7 +11,7 @@ that the last flight spares, on the one of all choices whose words come nearest.
 
 Scale: a source is dealt into blocks of bounded expected size, each block flies alone and hands
 its last undecided documents to the next level, which has fewer blocks by a factor of about
-``block / 2``; the level that has one block for every source lands. Blocks go through their
+``block / 2``; a source lands at the first level where it is one block. Blocks go through their
 documents from long to short, so what remains are short ones. A hot source is many blocks, and no
 step gathers a source.
 
@@ -121,11 +121,13 @@ def flight_and_landing(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
     return landing(out, size)
 
 
-def _fly(last: bool):
+def _fly(most: int):
+    """Moves a block; one that is all of its source (``most`` documents at most) lands."""
+
     def run(block: pd.DataFrame) -> pd.DataFrame:
         order = np.lexsort((block["dice"], -block["size"]))
         block = block.iloc[order]
-        move = flight_and_landing if last else flight
+        move = flight_and_landing if block["in_source"].iloc[0] <= most else flight
         return block.assign(prob=move(block["prob"].to_numpy(float), block["size"].to_numpy(float)))
 
     return run
@@ -166,7 +168,7 @@ def take(
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("dice"), n_blocks))
         last = not most or most <= block
         dealt = dealt.select("id", "rank", "size", "whole", "prob", "in_source", "dice", "block")
-        flown = dealt.groupBy("rank", "block").applyInPandas(_fly(last), dealt.schema)
+        flown = dealt.groupBy("rank", "block").applyInPandas(_fly(block), dealt.schema)
         flown = materialize(flown, f"mix-level-{level}")
         done = (F.col("prob") == 0) | (F.col("prob") == 1)
         decided.append(flown.filter(done).select("id", "rank", "size", (F.col("whole") + F.col("prob").cast("int")).alias("copies")))

@@ -84,3 +84,12 @@ def test_levels_reach_the_target(spark):
     for r in mixing.take(frame, block=40).collect():
         taken[r["source"]] += r["copies"] * r["size"]
     assert all(abs(taken[s] - t) <= 60 for s, t in want.items())
+
+
+def test_small_source_lands_beside_a_hot_one(spark):
+    dice = random.Random(3)
+    data = [(i, dice.randint(200, 900), "cold" if i < 30 else "hot") for i in range(430)]
+    frame = spark.createDataFrame(data, "doc_id long, size long, source string")
+    got = mixing.take(frame, size=frame["size"], weights=(1, 9), block=40).collect()
+    taken = {s: sum(r["copies"] * r["size"] for r in got if r["source"] == s) for s in ("cold", "hot")}
+    assert len(got) == 430 and all(abs(taken[r["source"]] - r["target"]) <= 5 for r in got)
