@@ -119,7 +119,7 @@ def stitched_disparity(tiles: DataFrame, keys: Sequence[str], rows: int, cols: i
 
 
 def cloud(pixels: DataFrame, masks: DataFrame, n_sides: DataFrame, views: DataFrame, colours: DataFrame) -> DataFrame:
-    """Coloured points of all bases.
+    """Coloured points of all bases (J11; of C6 the consistency masks only, not the footprint mask).
 
     pixels: (base, side, y, x, d); masks: (base, side, y, x, mask); n_sides: (base, n_sides);
     views: (base, side) with k, left_map, right_map, rotations and centres; colours: (base, y, x,

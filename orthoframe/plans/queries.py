@@ -539,7 +539,7 @@ def q_semi_global(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def q_multiview_cloud(spark: SparkSession, sf: str) -> DataFrame:
-    """Coloured points of bases with two sides, through rectified space."""
+    """Coloured points of bases with one side each, through rectified space, without the footprint mask of C6."""
     from ..operators.reconstruction import cloud
 
     height = _height(spark, sf)
