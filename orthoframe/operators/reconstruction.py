@@ -107,7 +107,7 @@ def rectifying_maps(pairs: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def consistency(left: DataFrame, right: DataFrame, keys: Sequence[str], cols: int, threshold: float = 0.75, wrap: bool = False) -> DataFrame:
-    """(keys..., y, x, mask) of left pixels whose right partner agrees."""
+    """(keys..., y, x, mask) of left pixels whose right partner agrees (of C5 the gather and threshold, not the warps)."""
     found = raster.gather(left, right, keys, cols, wrap)
     return found.select(*keys, "y", "x", raster.consistent(F.col("deviation"), threshold).alias("mask"))
 
@@ -146,7 +146,7 @@ def register_clouds(cat: Catalog, points: DataFrame, names: DataFrame) -> DataFr
 
 
 def batch_plan(spec: DataFrame, in_db: DataFrame, on_disk: DataFrame, only: str | None = None) -> DataFrame:
-    """(base, side_idx, side, action) of a batch, by what is known of each base."""
+    """(base, side_idx, side, action) of a batch, by what is known of each base."""
     rows = catalog.chosen(catalog.expand(spec), only)
     known = catalog.state(in_db, on_disk, ["base"])
     bases = catalog.plan(rows.select("base").distinct(), known, ["base"]).select("base", "action")
