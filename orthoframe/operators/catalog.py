@@ -1,11 +1,15 @@
-"""The survey's catalog as versioned snapshots of seven tables, and set-based queries over them.
+"""The survey's catalog as snapshots of seven tables, and set-based queries over them.
 
-A write makes a new snapshot ``<root>/<table>/v=N`` and then moves the pointer file
-``<root>/<table>/current.txt``; readers see whole snapshots only. One writer at a time.
+The rows of a table lie in parts, Parquet folders ``<root>/<table>/parts/<name>`` that never change. A
+snapshot is a file ``<root>/<table>/snapshots/<number>`` that lists parts; the highest number is the
+table. It is written beside its place and renamed to it, so a snapshot is there whole or not at all, and
+after a crash the last whole one stands. An append adds a part and lists it; a write lists its own part
+alone. One writer at a time; two that take the same number don't both succeed.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schemas import CATALOG
+from ..staging import stage
 
 
 class Catalog:
@@ -21,14 +26,24 @@ class Catalog:
 
     def _path(self, name: str) -> tuple:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(name)
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(self, table: str) -> int | None:
-        path, fs = self._path(f"{self.root}/{table}/current.txt")
+        """The number of the table's last whole snapshot."""
+        path, fs = self._path(f"{table}/snapshots")
         if not fs.exists(path):
             return None
-        return int(self.spark.read.text(path.toString()).first()[0])
+        names = [f.getPath().getName() for f in fs.listStatus(path)]
+        return max((int(n) for n in names if n.isdigit()), default=None)
+
+    def parts(self, table: str) -> list[str]:
+        """Names of the parts that the table has now."""
+        n = self.version(table)
+        if n is None:
+            raise LookupError(f"no table {table} in {self.root}")
+        path, _ = self._path(f"{table}/snapshots/{n:010d}")
+        return [r["value"] for r in self.spark.read.text(path.toString()).collect() if r["value"]]
 
     def exists(self) -> bool:
         """All seven tables are there."""
@@ -36,42 +51,74 @@ class Catalog:
 
     def create(self) -> None:
         """Makes the tables that are missing, empty."""
-        for table, schema in CATALOG.items():
+        for table in CATALOG:
             if self.version(table) is None:
-                self.write(table, self.spark.createDataFrame([], schema))
+                self._commit(table, [])
 
     def read(self, table: str) -> DataFrame:
-        n = self.version(table)
-        if n is None:
-            raise LookupError(f"no table {table} in {self.root}")
-        return self.spark.read.schema(CATALOG[table]).parquet(f"{self.root}/{table}/v={n}")
+        found = self.parts(table)
+        if not found:
+            return self.spark.createDataFrame([], CATALOG[table])
+        return self.spark.read.schema(CATALOG[table]).parquet(*[f"{self.root}/{table}/parts/{p}" for p in found])
 
-    def write(self, table: str, rows: DataFrame) -> None:
-        """Replaces a table by ``rows``, which may read its present snapshot."""
-        schema = self.spark.createDataFrame([], CATALOG[table]).schema
+    def _commit(self, table: str, parts: list[str]) -> None:
         n = (self.version(table) or 0) + 1
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("overwrite").parquet(f"{self.root}/{table}/v={n}")
-        path, fs = self._path(f"{self.root}/{table}/next.txt")
-        out = fs.create(path, True)
-        out.write(bytearray(f"{n}\n".encode()))
+        draft, fs = self._path(f"{table}/snapshots/_{uuid.uuid4().hex}")
+        out = fs.create(draft, True)
+        out.write(bytearray("".join(f"{p}\n" for p in parts).encode()))
         out.close()
-        current, _ = self._path(f"{self.root}/{table}/current.txt")
-        fs.delete(current, False)
-        fs.rename(path, current)
+        place, _ = self._path(f"{table}/snapshots/{n:010d}")
+        if fs.exists(place) or not fs.rename(draft, place):
+            fs.delete(draft, False)
+            raise RuntimeError(f"another writer made snapshot {n} of {table}")
+
+    def _part(self, table: str, rows: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        schema = self.spark.createDataFrame([], CATALOG[table]).schema
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(f"{self.root}/{table}/parts/{name}")
+        return name
+
+    def write(self, table: str, rows: DataFrame) -> None:
+        """Makes a snapshot of these rows alone."""
+        self._commit(table, [self._part(table, rows)])
 
     def append(self, table: str, rows: DataFrame, key: str, order: Sequence[str | Column]) -> DataFrame:
-        """Adds rows with new keys in the given order, and returns them with their keys."""
-        old = self.read(table)
-        added = new_keys(rows, old, key, order)
-        self.write(table, old.unionByName(added.select(*old.columns)))
+        """Adds rows with new keys in the given order, and returns them with their keys.
+
+        Only the new rows are written, and what gave them is computed once.
+        """
+        old = self.parts(table)
+        added = new_keys(rows, self.read(table), key, order)
+        self._commit(table, [*old, self._part(table, added)])
         return added
 
 
+    def delete_clouds(self, names: DataFrame) -> None:
+        """Removes the clouds of base images (img_name), and that they are ready, where there are any."""
+        clouds, stereo, image = (self.read(t) for t in ("point_cloud", "multi_stereo", "image"))
+        gone = clouds_by_base(clouds, stereo, image).join(names, "img_name", "left_semi").select("pc_id")
+        kept = delete_clouds(clouds, stereo, image, names)
+        cleared = stereo.join(gone.selectExpr("pc_id", "true AS gone"), "pc_id", "left").selectExpr(
+            "ms_id", "base_img_id", "overlapping_bounds", "CASE WHEN gone THEN false ELSE pc_ready END AS pc_ready", "CASE WHEN gone THEN NULL ELSE pc_id END AS pc_id"
+        )
+        self.write("multi_stereo", cleared)
+        self.write("point_cloud", kept)
+
+
 def new_keys(rows: DataFrame, table: DataFrame, key: str, order: Sequence[str | Column]) -> DataFrame:
-    """``rows`` with ``key`` numbered on from the table's largest, in order."""
-    last = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("last"))  # one row
-    numbered = rows.drop(key).withColumn("n", F.row_number().over(Window.orderBy(*order)))
-    return numbered.join(F.broadcast(last)).withColumn(key, (F.col("last") + F.col("n")).cast("int")).drop("n", "last")
+    """``rows`` with ``key`` numbered on from the table's largest, in order.
+
+    Rows are sorted over all tasks and written once; a row's number is its place in its part after the
+    sizes of earlier parts, of which there are as many as tasks.
+    """
+    numbered = stage(rows.drop(key).orderBy(*order).withColumn("place_", F.monotonically_increasing_id()), "new-keys")
+    part, inside = F.shiftrightunsigned("place_", 33), F.col("place_").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = numbered.groupBy(part.alias("part_")).agg(F.count(F.lit(1)).alias("n_"))
+    earlier = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("part_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("before_"))
+    last = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("last_"))  # one row
+    out = numbered.withColumn("inside_", inside).withColumn("part_", part).join(before, "part_").join(F.broadcast(last))
+    return out.withColumn(key, (F.col("last_") + F.col("before_") + F.col("inside_") + 1).cast("int")).drop("part_", "place_", "inside_", "before_", "last_")
 
 
 def image_names(image: DataFrame) -> DataFrame:
