@@ -178,31 +178,25 @@ def received(att: np.ndarray, least: float = 0.1) -> np.ndarray:
     return att.sum(axis=-2) > least
 
 
+#: Fixed value: what keeps the mean over no pixels from dividing by zero.
+HOLE_EPSILON = 1e-4
+
+
 def regress(att: np.ndarray, valid: np.ndarray) -> np.ndarray:
     """Disparity i - E[j] from attention (rows, cols, cols), holes filled along the row.
 
-    A hole takes the mean of the valid ones among itself and its left neighbour, then outwards
-    until nothing changes; then the same from the right.
+    A hole takes the value of the last valid pixel on its left, less by a factor 1 + ``HOLE_EPSILON``
+    for each pixel between; holes at a row's start take that of the first valid one on their right. A
+    row without valid pixels is zero.
     """
     n = att.shape[-1]
-    first = np.arange(n) - att @ np.arange(n, dtype=float)
-    known = valid.astype(float)
-    value = first * known
-    for step in (1, -1):
-        while True:
-            moved, moved_known = np.zeros_like(value), np.zeros_like(known)
-            if step == 1:
-                moved[:, 1:], moved_known[:, 1:] = value[:, :-1], known[:, :-1]
-            else:
-                moved[:, :-1], moved_known[:, :-1] = value[:, 1:], known[:, 1:]
-            weight = known + moved_known
-            after = (weight > 0).astype(float)
-            value = value * known + (value + moved) / (weight + 1e-4) * (after - known)
-            grown = after.sum() - known.sum()
-            known = after
-            if grown <= 0:
-                break
-    return np.where(valid, first, value)
+    own = np.arange(n) - att @ np.arange(n, dtype=float)
+    at, known = np.broadcast_to(np.arange(n), own.shape), valid.astype(bool)
+    left = np.maximum.accumulate(np.where(known, at, -1), axis=1)
+    right = np.minimum.accumulate(np.where(known, at, n)[:, ::-1], axis=1)[:, ::-1]
+    source = np.where(left >= 0, left, right)
+    filled = np.take_along_axis(own, np.clip(source, 0, n - 1), axis=1) / (1 + HOLE_EPSILON) ** np.abs(at - source)
+    return np.where(source < n, filled, 0.0)
 
 
 def parallax_cost(query: np.ndarray, key: np.ndarray, previous: np.ndarray | None = None) -> np.ndarray:

@@ -50,10 +50,32 @@ def tile_grid(spark: SparkSession, rows: int, cols: int, tile_rows: int, tile_co
     return spark.createDataFrame(cells, "tile int, ty int, tx int, y0 int, x0 int")
 
 
-def cut_tiles(pixels: DataFrame, grid: DataFrame, tile_rows: int, tile_cols: int) -> DataFrame:
-    """Pixels of every tile, with tile, y0 and x0; the grid is a handful of rows for any raster."""
-    inside = F.col("y").between(F.col("y0"), F.col("y0") + tile_rows - 1) & F.col("x").between(F.col("x0"), F.col("x0") + tile_cols - 1)
-    return pixels.join(F.broadcast(grid.select("tile", "y0", "x0")), inside)
+def _tiles_over(at: Column, places: list[int], tile: int) -> Column:
+    """Numbers of the starts (ascending) whose tile covers a place along one axis.
+
+    Starts lie a step apart, but for those moved back to the end; so there are few, and which they are
+    follows from the place.
+    """
+    step = places[1] - places[0] if len(places) > 1 else 1
+    moved = sum(1 for p, q in zip(places, places[1:], strict=False) if q - p != step)
+    last = len(places) - 1
+    low = F.greatest(F.ceil((at - (tile - 1)) / num(max(step, 1))), F.lit(0))
+    high = F.least(F.floor(at / num(max(step, 1))) + (moved + 1), F.lit(last))
+    covers = lambda i: (F.get(F.array(*map(F.lit, places)), i) <= at) & (at < F.get(F.array(*map(F.lit, places)), i) + tile)
+    return F.filter(F.sequence(F.least(low, F.lit(last)).cast("int"), high.cast("int")), covers)
+
+
+def cut_tiles(pixels: DataFrame, grid: Sequence[tuple[int, int, int, int, int]] | DataFrame, tile_rows: int, tile_cols: int) -> DataFrame:
+    """Pixels of every tile of a grid (the result of :func:`tile_grid`), with tile, y0 and x0.
+
+    A pixel's tiles follow from its place, so each pixel becomes as many rows as tiles cover it, and
+    no tile is compared with a pixel that it does not cover.
+    """
+    cells = sorted(tuple(r) for r in grid.collect()) if isinstance(grid, DataFrame) else sorted(grid)  # one image's grid
+    ys, xs = [next(c[3] for c in cells if c[1] == i) for i in range(cells[-1][1] + 1)], [next(c[4] for c in cells if c[2] == j) for j in range(max(c[2] for c in cells) + 1)]
+    out = pixels.withColumn("ty_", F.explode(_tiles_over(F.col("y"), ys, tile_rows))).withColumn("tx_", F.explode(_tiles_over(F.col("x"), xs, tile_cols)))
+    place = lambda places, i: F.get(F.array(*map(F.lit, places)), F.col(i))
+    return out.withColumns({"tile": F.col("ty_") * len(xs) + F.col("tx_"), "y0": place(ys, "ty_"), "x0": place(xs, "tx_")}).drop("ty_", "tx_")
 
 
 def stitch(tiles: DataFrame, keys: Sequence[str], rows: int, cols: int, tile_rows: int, tile_cols: int, overlap_rows: int, overlap_cols: int) -> DataFrame:

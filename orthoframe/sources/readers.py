@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import urllib.parse
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,26 +91,46 @@ def image_sizes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "img_name string, nrows int, ncols int")
 
 
+def _cut(name: str, pixels: np.ndarray, size: int, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Tiles of an 8-bit image (rows, cols, bands), one at a time."""
+    rows, cols, bands = pixels.shape
+    for y in range(0, rows, size):
+        for x in range(0, cols, size):
+            part = pixels[y : y + size, x : x + size].astype(np.float32) / np.float32(255)
+            out = {"img": name, "ty": y // size, "tx": x // size, "y0": y, "x0": x, "h": part.shape[0], "w": part.shape[1], "bands": bands, "data": part.ravel()}
+            yield pa.RecordBatch.from_pylist([out], arrow)
+
+
 def read_images(spark: SparkSession, path: str, size: int = 1024) -> DataFrame:
-    """Tile rows (img, ty, tx, y0, x0, h, w, bands, data) of 8-bit PPM or PGM files, values 0 to 1."""
+    """Tile rows (img, ty, tx, y0, x0, h, w, bands, data) of 8-bit images, values 0 to 1.
+
+    PPM and PGM files are read here; JPEG, PNG, BMP, GIF and TIFF files by Spark's image source, which
+    decodes them in the executors. Grey images have one band, others three.
+    """
     schema = "img string, ty int, tx int, y0 int, x0 int, h int, w int, bands int, data array<float>"
     arrow = pa.schema([("img", pa.string()), *[(n, pa.int32()) for n in ("ty", "tx", "y0", "x0", "h", "w", "bands")], ("data", pa.list_(pa.float32()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                content = row["content"]
+                name, content = (batch.column(c)[i].as_py() for c in ("path", "content"))
                 cols, rows, top, at = _pnm_header(content)
+                if top != 255:
+                    raise ValueError(f"{name}: values up to 255")
                 bands = 3 if content[:2] == b"P6" else 1
-                pixels = np.frombuffer(content, np.uint8, rows * cols * bands, at).reshape(rows, cols, bands)
-                for y in range(0, rows, size):
-                    for x in range(0, cols, size):
-                        part = pixels[y : y + size, x : x + size].astype(np.float32) / np.float32(top)
-                        out = {"img": row["path"].rpartition("/")[2], "ty": y // size, "tx": x // size, "y0": y, "x0": x, "h": part.shape[0], "w": part.shape[1], "bands": bands, "data": part.ravel()}
-                        yield pa.RecordBatch.from_pylist([out], arrow)
+                yield from _cut(name.rpartition("/")[2], np.frombuffer(content, np.uint8, rows * cols * bands, at).reshape(rows, cols, bands), size, arrow)
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name, rows, cols, channels, data = (batch.column(c)[i].as_py() for c in ("origin", "height", "width", "nChannels", "data"))
+                pixels = np.frombuffer(data, np.uint8).reshape(rows, cols, channels)
+                pixels = pixels if channels == 1 else pixels[..., 2::-1]  # blue comes first, transparency last
+                yield from _cut(urllib.parse.unquote(name.rpartition("/")[2]), pixels, size, arrow)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    own = spark.read.format("binaryFile").option("pathGlobFilter", "*.p[pgn]m").load(path).select("path", "content").mapInArrow(plain, schema)
+    image = spark.read.format("image").option("pathGlobFilter", "*.{jpg,jpeg,JPG,JPEG,png,PNG,bmp,gif,tif,tiff,TIF,TIFF}").load(path)
+    return own.unionByName(image.select("image.*").drop("mode").mapInArrow(decoded, schema))
 
 
 def read_las(spark: SparkSession, path: str) -> DataFrame:
@@ -136,12 +157,30 @@ def read_las(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """(x, y, z) of the vertices of an ASCII cloud, as 32-bit numbers widened to doubles.
+    """(x, y, z) of the vertices of ASCII clouds, as 32-bit numbers widened to doubles.
 
-    The header's lines hold letters, vertices do not (but for exponents and NaN).
+    In a file with a header, vertices are as many lines after it as the header says; other elements,
+    such as faces, are left out. Files without one (parts of vertices) hold vertices only. The order
+    of lines follows from the byte at which a split of a file starts.
     """
-    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p"))
-    vertices = lines.filter(F.size("p") >= 3).filter(F.col("p")[0].rlike(r"\A[-+0-9.]|\A(?i:nan|inf)"))
+    from pyspark.sql.window import Window
+
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select(F.trim("value").alias("value"), meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("id"))
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = lines.join(blocks, ["file", "block"]).withColumn("at", F.col("before") + F.col("id") - F.col("first"))
+    count = F.regexp_extract("value", r"\Aelement\s+vertex\s+([0-9]+)", 1)
+    heads = placed.groupBy("file").agg(
+        F.max(count.try_cast("bigint")).alias("vertices"),
+        F.min(F.when(F.col("value") == "end_header", F.col("at"))).alias("end"),
+    )
+    whole = F.col("end").isNotNull() & F.col("vertices").isNotNull()
+    inside = (F.col("at") > F.col("end")) & (F.col("at") <= F.col("end") + F.col("vertices"))
+    p = F.split("value", r"\s+")
+    number = p[0].rlike(r"\A[-+0-9.]|\A(?i:nan|inf)") & (F.size(p) >= 3)
+    vertices = placed.join(heads, "file").filter(F.when(whole, inside).otherwise(number)).select(p.alias("p"))
     return vertices.select(*[F.col("p")[i].cast("float").cast("double").alias(n) for i, n in enumerate("xyz")])
 
 
