@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .config import Settings
 from .operators import catalog as ops
 from .operators.catalog import Catalog
-from .operators.reconstruction import batch_plan, build_catalog
-from .sources import readers
+from .operators.reconstruction import batch_plan, build_catalog, reconstruct
+from .sources import readers, writers
+
+
+def stem_of(name: str) -> str:
+    """A file name without its last extension."""
+    return name.rpartition(".")[0] or name
 
 
 class SurveyClient:
@@ -35,16 +41,28 @@ class SurveyClient:
 
     def delete_point_cloud(self, name: str) -> None:
         """Removes the cloud of a base image, and that it is ready, if there is one."""
-        names = self.spark.createDataFrame([(name,)], "img_name string")
-        clouds, stereo, image = (self.catalog.read(t) for t in ("point_cloud", "multi_stereo", "image"))
-        gone = ops.clouds_by_base(clouds, stereo, image).join(names, "img_name", "left_semi").select("pc_id")
-        kept = ops.delete_clouds(clouds, stereo, image, names)
-        cleared = stereo.join(gone.selectExpr("pc_id", "true AS gone"), "pc_id", "left").selectExpr(
-            "ms_id", "base_img_id", "overlapping_bounds", "CASE WHEN gone THEN false ELSE pc_ready END AS pc_ready", "CASE WHEN gone THEN NULL ELSE pc_id END AS pc_id"
-        )
-        self.catalog.write("multi_stereo", cleared)
-        self.catalog.write("point_cloud", kept)
+        self.catalog.delete_clouds(self.spark.createDataFrame([(name,)], "img_name string"))
 
     def plan(self, spec: str, in_db: DataFrame, on_disk: DataFrame) -> DataFrame:
         """What a batch has to do for each base of a spec."""
         return batch_plan(readers.read_spec(self.spark, spec), in_db, on_disk, self.settings.base_filter)
+
+    def reconstruct(self, images: str, spec: str | DataFrame, size: int = 1024, **options) -> DataFrame:
+        """Points of all bases of a spec (a path, or rows of base and sides), from image files."""
+        rows = readers.read_spec(self.spark, spec) if isinstance(spec, str) else spec
+        if self.settings.model_path is not None:
+            options = {"model_path": self.settings.model_path} | options
+        return reconstruct(self.catalog, readers.read_images(self.spark, images, size), rows, self.settings, **options)
+
+    def run_multiview(self, images: str, base: str, sides: list[str], **options) -> DataFrame:
+        """Points of one base image with its sides."""
+        return self.reconstruct(images, self.spark.createDataFrame([(base, sides)], "base string, sides array<string>"), **options)
+
+    def export_cloud(self, points: DataFrame, base: str, file: str) -> int:
+        """Writes a base's points as one PLY file with the number of views; returns their number."""
+        own = points.filter(F.col("base") == base)
+        first = own.select("views").first()
+        folder = f"{self.settings.cache('ply')}/{stem_of(base)}"
+        n = writers.write_ply(own, folder, first["views"] if first else 1)
+        writers.join_ply(self.spark, folder, file)
+        return n

@@ -129,6 +129,11 @@ def common_area(rings: pd.Series, distance: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def eroded(ring: pd.Series, distance: pd.Series) -> pd.Series:
+    return pd.Series([erode(own, d).tolist() if len(own := _ring(r)) else [] for r, d in zip(ring, distance, strict=True)])
+
+
 @F.pandas_udf(T.BooleanType())
 def touches(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([intersects(_ring(x), _ring(y)) for x, y in zip(a, b, strict=True)], dtype=bool)

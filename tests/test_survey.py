@@ -1,6 +1,7 @@
 """Sources, sinks, catalog, geometry and streaming end to end on a made-up survey."""
 
 import json
+import shutil
 import struct
 
 import numpy as np
@@ -136,8 +137,7 @@ def test_pairs_and_stereo_rows(spark, survey):
             ring = rings.clip(ring, feet[s])
         ring = rings.erode(ring, 2 * gsd)
         row = cat.read("multi_stereo").filter(f"base_img_id = {base}").first()
-        want = [i for i in feet if rings.intersects(ring, feet[i])] if len(ring) else None
-        assert (row["overlapping_bounds"] if row else None) == want
+        assert row["overlapping_bounds"] == [i for i in feet if len(ring) and rings.intersects(ring, feet[i])]
 
 
 def test_rectified_images(spark, survey):
@@ -265,3 +265,149 @@ def test_odd_names_and_states(spark):
     assert catalog.has_database(spark, "DEFAULT") and not catalog.has_database(spark, "nowhere")
     with pytest.raises(ValueError, match="CNN or SGM"):
         Settings("a", "b", estimator="other")
+
+
+def ground_colour(x, y):
+    """A texture without repeats, from 0 to 1, at world places."""
+    a = np.sin(0.9 * x + 0.4 * y) + np.sin(0.53 * y - 0.31 * x + 1) + np.sin(0.21 * x * y / 10)
+    return np.stack([(a + 3) / 6, (np.sin(0.7 * y) + 1) / 2, (np.cos(0.45 * x) + 1) / 2], axis=-1)
+
+
+@pytest.fixture(scope="module")
+def flight(spark, tmp_path_factory):
+    """Three cameras in a row over flat ground at a height of 20, looking down."""
+    root = tmp_path_factory.mktemp("flight")
+    (root / "images").mkdir()
+    rows, cols, c, ground = 72, 96, 100.0, 20.0
+    lines = [HEADER]
+    for i in range(3):
+        cx, cy, cz = 500.0 + 8 * i, 700.0, 120.0
+        lines.append(f"cam{i}.ppm {cx} {cy} {cz} {c} {cols / 2} {-rows / 2} 0 0 0 0 0 0 0 0")
+        v, u = np.mgrid[0:rows, 0:cols].astype(float)
+        x, y = cx + (u - cols / 2) * (cz - ground) / c, cy - (v - rows / 2) * (cz - ground) / c
+        pixels = np.rint(255 * ground_colour(x, y)).astype(np.uint8)
+        (root / f"images/cam{i}.ppm").write_bytes(f"P6\n{cols} {rows}\n255\n".encode() + pixels.tobytes())
+    (root / "cal.xyz").write_text("\n".join(lines) + "\n")
+    head = bytearray(227)
+    head[:4], head[24:26] = b"LASF", bytes([1, 2])
+    head[96:100], head[105:107], head[107:111] = struct.pack("<I", 227), struct.pack("<H", 20), struct.pack("<I", 1)
+    head[131:155], head[155:179] = struct.pack("<3d", 1, 1, 1), struct.pack("<3d", 0, 0, 0)
+    (root / "ground.las").write_bytes(bytes(head) + struct.pack("<iii8x", 0, 0, 20))
+    (root / "spec.json").write_text("\n".join(json.dumps(r) for r in ({"base": "cam1.ppm", "sides": ["cam0.ppm", "cam2.ppm"]}, {"base": "cam0.ppm", "sides": ["cam1.ppm"]}, {"base": "cam2.ppm", "sides": []})))
+    settings = Settings(str(root), str(root / "work"), estimator="SGM", overlap_buffer_px=3.0, tile_rows=40, tile_cols=60, overlap_rows=12, overlap_cols=24)
+    client = SurveyClient(spark, settings)
+    client.initialize(f"{root}/cal.xyz", f"{root}/images/*.ppm", f"{root}/ground.las")
+    return root, client
+
+
+def test_reconstruction_from_images_to_clouds(spark, flight, monkeypatch):
+    """All four cases of bases and pairs, and a second run that computes nothing."""
+    root, client = flight
+    calls = []
+    for name in ("disparities", "consistent_views", "clouds"):
+        own = getattr(reconstruction, name)
+        monkeypatch.setattr(reconstruction, name, lambda *a, own=own, name=name, **o: calls.append(name) or own(*a, **o))
+
+    def run():
+        calls.clear()
+        points = client.reconstruct(f"{root}/images", f"{root}/spec.json", size=32, factor=1, low=-6, high=6)
+        return sorted(map(tuple, points.select("base", *[F.round(c, 6) for c in "XYZ"], "r", "g", "b", "views").collect())), list(calls)
+
+    first, did = run()
+    assert did == ["disparities", "consistent_views", "clouds"]
+    count = {b: sum(r[0] == b for r in first) for b in ("cam0.ppm", "cam1.ppm", "cam2.ppm")}
+    assert count["cam0.ppm"] > 1500 and count["cam1.ppm"] > 1500 and count["cam2.ppm"] == 0
+    got = np.array([r[1:4] for r in first])
+    assert abs(np.median(got[:, 2]) - 20) < 0.5 and np.mean(np.abs(got[:, 2] - 20) < 3) > 0.95
+    assert {(r[0], r[7]) for r in first} == {("cam0.ppm", 2), ("cam1.ppm", 3)}
+    # colours are those of the ground where the points lie
+    near = np.abs(got[:, 2] - 20) < 0.5
+    want = 255 * ground_colour(got[near, 0] + client.global_param("x_shift"), got[near, 1] + client.global_param("y_shift"))
+    assert np.abs(want - np.array([r[4:7] for r in first])[near]).mean() < 8
+    # the eroded footprint keeps the points off the borders of what both images see
+    edges = {"cam0.ppm": (508 - 48, 500 + 48), "cam1.ppm": (516 - 48, 500 + 48)}
+    for base, (low, high) in edges.items():
+        x = np.array([r[1] for r in first if r[0] == base]) + client.global_param("x_shift")
+        assert x.min() > low + 1.5 and x.max() < high - 1.5
+    clouds = {r["pc_name"]: r["n_points"] for r in client.catalog.read("point_cloud").collect()}
+    assert clouds == {"cam0": count["cam0.ppm"], "cam1": count["cam1.ppm"]}
+    assert client.catalog.read("image_pair").count() == 4
+
+    assert run() == (first, [])  # in the catalog and in the cache: loaded
+    client.delete_point_cloud("cam1.ppm")  # in the cache alone: registered again
+    assert run() == (first, []) and client.catalog.read("point_cloud").count() == 2
+    shutil.rmtree(root / "work/clouds/base=cam0.ppm")  # in the catalog alone: computed from cached views
+    assert run() == (first, ["clouds"]) and client.catalog.read("point_cloud").count() == 2
+    shutil.rmtree(root / "work/clouds/base=cam0.ppm")
+    shutil.rmtree(root / "work/views/base=cam0.ppm")
+    shutil.rmtree(root / "work/disparity/base=cam0.ppm")  # a pair in the catalog alone: its disparity is computed
+    assert run() == (first, ["disparities", "consistent_views", "clouds"])
+    client.catalog.write("image_pair", client.catalog.read("image_pair").limit(0))  # pairs in the cache alone
+    shutil.rmtree(root / "work/clouds/base=cam0.ppm")
+    assert run() == (first, ["clouds"]) and client.catalog.read("image_pair").count() == 2
+
+    points = client.run_multiview(f"{root}/images", "cam1.ppm", ["cam0.ppm", "cam2.ppm"])
+    assert client.export_cloud(points, "cam1.ppm", f"{root}/cam1.ply") == count["cam1.ppm"]
+    lines = (root / "cam1.ply").read_text().splitlines()
+    assert lines[:3] == ["ply", "format ascii 1.0", f"element vertex {count['cam1.ppm']}"] and lines[-1].endswith(" 3")
+    assert readers.read_ply(spark, f"{root}/cam1.ply").count() == count["cam1.ppm"]
+
+
+def test_a_crash_between_part_and_snapshot_loses_nothing(spark, tmp_path):
+    cat = catalog.Catalog(spark, f"{tmp_path}/cat")
+    cat.create()
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "img_name string, img_param_id int")
+    assert [r["img_id"] for r in cat.append("image", rows, "img_id", ["img_name"]).orderBy("img_name").collect()] == [1, 2]
+    cat._part("image", cat.read("image"))  # a writer that stops before its snapshot
+    (tmp_path / "cat/image/snapshots/_draft").write_text("half")
+    cat.create()  # nothing to do
+    assert sorted(r["img_name"] for r in cat.read("image").collect()) == ["a", "b"]
+    cat.append("image", rows.limit(1), "img_id", ["img_name"])
+    assert sorted(r["img_id"] for r in cat.read("image").collect()) == [1, 2, 3]
+    many = spark.range(1000).select(F.concat(F.lit("n"), F.lpad("id", 4, "0")).alias("img_name"), F.lit(1).alias("img_param_id")).repartition(7)
+    added = cat.append("image", many, "img_id", ["img_name"]).collect()
+    assert sorted((r["img_name"], r["img_id"]) for r in added) == [(f"n{i:04d}", 4 + i) for i in range(1000)]
+
+
+def test_a_second_raster_leaves_the_first(spark, tmp_path):
+    schema = f"base string, side string, {reconstruction.BLOCKS}"
+    for base, n in (("a", 1), ("b", 2), ("a", 3)):
+        writers.write_raster(spark.createDataFrame([(base, "s", 0, 0, 1, 1, bytes([n] * 4))], schema), f"{tmp_path}/r")
+    got = writers.cached(spark, f"{tmp_path}/r", ["base", "side"], reconstruction.BLOCKS).collect()
+    assert sorted((r["base"], r["side"], bytes(r["data"])) for r in got) == [("a", "s", bytes([3] * 4)), ("b", "s", bytes([2] * 4))]
+    assert writers.cached(spark, f"{tmp_path}/none", ["base"], "d int").count() == 0
+
+
+def test_faces_of_a_cloud_are_no_vertices(spark, tmp_path):
+    head = "ply\nformat ascii 1.0\ncomment 3 0 1\nelement vertex 3\nproperty float x\nproperty float y\nproperty float z\nelement face 2\nproperty list uchar int vertex_indices\nend_header\n"
+    (tmp_path / "a.ply").write_text(head + "0 0 1\n1 0 nan\n0 1 3\n3 0 1 2\n3 2 1 0\n")
+    got = sorted((r["x"], r["y"], str(r["z"])) for r in readers.read_ply(spark, f"{tmp_path}/a.ply").collect())
+    assert got == [(0.0, 0.0, "1.0"), (0.0, 1.0, "3.0"), (1.0, 0.0, "nan")]
+
+
+def test_jpeg_and_png_pixels(spark, tmp_path):
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(20, 12, 1)
+    for y in range(12):
+        for x in range(20):
+            image.setRGB(x, y, (10 * x << 16) | (20 * y << 8) | 77)
+    for kind in ("png", "jpg"):
+        assert jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(f"{tmp_path}/im.{kind}"))
+    tiles = readers.read_images(spark, str(tmp_path), 16).collect()
+    assert sorted((t["img"], t["ty"], t["tx"], t["h"], t["w"], t["bands"]) for t in tiles) == [(f"im.{k}", 0, j, 12, w, 3) for k in ("jpg", "png") for j, w in ((0, 16), (1, 4))]
+    for t in tiles:
+        data = np.rint(255 * np.array(t["data"]).reshape(t["h"], t["w"], 3))
+        y, x = np.mgrid[0 : t["h"], t["x0"] : t["x0"] + t["w"]]
+        off = np.abs(data - np.stack([10 * x, 20 * y, np.full_like(x, 77)], axis=-1)).max()
+        assert off == 0 if t["img"] == "im.png" else off < 60
+
+
+def test_pixels_meet_only_tiles_that_cover_them(spark):
+    for n, t, o in ((8, 4, 2), (9, 4, 1), (11, 5, 3), (4, 4, 0), (3, 8, 2), (23, 6, 5)):
+        grid = raster.tile_grid(spark, n, n, t, t, o, o)
+        pixels = spark.range(n * n).select((F.col("id") / n).cast("int").alias("y"), (F.col("id") % n).cast("int").alias("x"))
+        cut = raster.cut_tiles(pixels, grid, t, t)
+        assert "NestedLoop" not in cut._jdf.queryExecution().toString()
+        want = {(g["tile"], y, x) for g in grid.collect() for y in range(g["y0"], min(n, g["y0"] + t)) for x in range(g["x0"], min(n, g["x0"] + t))}
+        got = [(r["tile"], r["y"], r["x"]) for r in cut.collect()]
+        assert len(got) == len(want) and set(got) == want
