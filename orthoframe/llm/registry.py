@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, exact_dedup, mixing, packing, pii, quality_classifier, quality_rules, simhash, url_filter, wavelet
@@ -12,6 +11,13 @@ from . import chat, exact_dedup, mixing, packing, pii, quality_classifier, quali
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of ``corpus_pipeline.py``."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": mixing.op1_mixing,
@@ -24,7 +30,7 @@ def queries() -> dict[str, Query]:
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_packing": packing.op9_packing,
         "op10_simhash": simhash.op10_simhash,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
     }
 
 
