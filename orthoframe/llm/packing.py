@@ -2,14 +2,15 @@
 
 A document's ids are cut into full windows and a rest. Each rest, as it comes, goes to the fill
 level at which the sum over levels of the squared number of open windows becomes smallest; a
-level array holds these numbers, and for each level the open windows lie on a stack. When a task
-has seen its documents, it closes what is open: the emptiest windows' pieces are cut to top up
+level array holds these numbers, and for each level the open windows lie on a stack. At most
+``OPEN`` windows are open: beyond that, the emptiest one's last piece is cut to fill the fullest one.
+When a task has seen its documents, it closes what is open: the emptiest windows' pieces are cut to top up
 the fullest ones, and the single window that stays partly filled is cut into sequences whose
 lengths are powers of two, which need no padding. So no sequence is padded at all, and few
 documents are cut.
 
 Each task packs the documents of its own partition, without a shuffle; memory holds the open
-windows only. A lost executor's partitions are packed again from their rows.
+windows (16 MB at most) and a batch of texts. A lost executor's partitions are packed again from their rows.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ WINDOW = 2048
 END_ID = 1
 #: Pieces of a batch that goes back to Spark.
 BATCH = 2048
+#: Windows that may be open at a time.
+OPEN = 2048
 
 Piece = tuple[Any, int, bytes, int]  # document, ids before it, ids, ids of the document
 
@@ -38,8 +41,8 @@ Piece = tuple[Any, int, bytes, int]  # document, ids before it, ids, ids of the
 class Packer:
     """Packs pieces of whole ids into windows; ``done`` collects closed sequences in order."""
 
-    def __init__(self, window: int = WINDOW) -> None:
-        self.window = window
+    def __init__(self, window: int = WINDOW, most_open: int = OPEN) -> None:
+        self.window, self.most_open, self.n_open = window, max(1, most_open), 0
         self.levels = np.zeros(window + 1, np.int64)  # open windows by number of ids
         self.open: dict[int, list[list[Piece]]] = {}
         self.done: list[list[Piece]] = []
@@ -70,22 +73,44 @@ class Packer:
 
     def _place(self, piece: Piece, size: int) -> None:
         level = self.best_level(size)
-        if level:
-            pieces = self.open[level].pop()
-            self.levels[level] -= 1
-        else:
-            pieces = []
+        pieces = self._pop(level) if level else []
         pieces.append(piece)
-        if level + size == self.window:
+        self._push(level + size, pieces)
+        while self.n_open > self.most_open:
+            self._top_up()
+
+    def _pop(self, level: int) -> list[Piece]:
+        self.levels[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def _push(self, level: int, pieces: list[Piece]) -> None:
+        if level == self.window:
             self.done.append(pieces)
-        else:
-            self.open.setdefault(level + size, []).append(pieces)
-            self.levels[level + size] += 1
+        elif level:
+            self.open.setdefault(level, []).append(pieces)
+            self.levels[level] += 1
+            self.n_open += 1
+
+    def _top_up(self) -> None:
+        """Fills the fullest open window with a part of the emptiest one; one fewer is open after."""
+        taken = np.flatnonzero(self.levels)
+        low, high = int(taken[0]), int(taken[-1])
+        full, given = self._pop(high), self._pop(low)
+        while high < self.window and given:
+            moved, kept = _cut(given.pop(), self.window - high)
+            size = len(moved[2]) // 4
+            full.append(moved)
+            high, low = high + size, low - size
+            if kept:
+                given.append(kept)
+        self._push(high, full)
+        self._push(low, given)
 
     def finish(self) -> None:
         """Closes all open windows; every sequence is then full or has a power of two as length."""
         windows = [(level, w) for level in sorted(self.open, reverse=True) for w in self.open[level]]
-        self.open, self.levels[:] = {}, 0
+        self.open, self.levels[:], self.n_open = {}, 0, 0
         first, last = 0, len(windows) - 1
         while first < last:
             level, pieces = windows[first]
@@ -129,13 +154,15 @@ def _cut(piece: Piece, size: int) -> tuple[Piece, Piece | None]:
     return (doc, start, ids[: 4 * size], n), (doc, start + size, ids[4 * size :], n)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, end_id: int = END_ID, most_open: int = OPEN, special_as_text: bool = False) -> DataFrame:
     """One row for each piece: id, start, ids (little-endian unsigned 32-bit, binary), doc_tokens,
     sequence_id, offset, padded_to.
 
     Every id of every row's text, and ``end_id`` after it, lies in exactly one piece; a null or
     empty text has ``end_id`` alone. Rows are packed as they come, so repeated rows and ids are
-    packed each. An empty table gives no rows. ``sequence_id`` holds the partition above bit 36.
+    packed each. An empty table gives no rows. ``sequence_id`` holds the partition above bit 36. Columns
+    other than these two are not read, so their names may be any. A very long text is cut into windows.
+    The string of a special token gets its id, as the library does it, unless ``special_as_text``.
     """
     if window & (window - 1):
         raise ValueError("a window of a power of two")
@@ -145,7 +172,7 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
     schema = T.StructType([rows.schema["id"], *[T.StructField(n, t, False) for n, t in columns]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(tokenizer).encode, Packer(window)
+        encode, packer = encoder(tokenizer, special_as_text).encode_batch, Packer(window, most_open)
         end = np.array([end_id], "<u4").tobytes()
         base, number = TaskContext.get().partitionId() << 36, 0
         id_type = None
@@ -167,8 +194,8 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
 
         for batch in batches:
             id_type = batch.column("id").type
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                packer.add(doc, encode(text.as_py()) + end)
+            for doc, ids in zip(batch.column("id").to_pylist(), encode(batch.column("text")), strict=True):
+                packer.add(doc, ids + end)
                 if len(packer.done) >= BATCH:
                     yield rows_of(packer.done)
                     packer.done = []

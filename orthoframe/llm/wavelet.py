@@ -4,7 +4,8 @@ A shard holds the ids of consecutive documents in one row of a compressed Parque
 bit-plane for each bit of an id, from the highest, where every plane stably moves the ids with
 a 0 before those with a 1 for the planes below; the number of zeros of each plane; and counts of
 ones before every 512th bit. From this :class:`WaveletMatrix` gives any id by its position,
-counts an id up to a position, and finds the positions of an id, without other copies.
+counts an id up to a position (rank), and finds the positions of an id (select: a binary search in
+the counts, then the bits of one block), without other copies.
 
 Documents are dealt by ranges of their id and sorted, so shards in order of (part, number) hold
 them in ascending order. A task keeps one shard in memory.
@@ -29,6 +30,8 @@ END_ID = 0
 #: Ids after which a shard is closed; documents are not cut.
 SHARD = 1 << 20
 BLOCK = 512
+#: Positions that one step of a select looks for; each reads a block of its plane.
+SELECTED = 1 << 15
 
 
 class WaveletMatrix:
@@ -45,14 +48,12 @@ class WaveletMatrix:
         ids = ids.astype(np.uint16) if depth <= 16 else ids
         planes, zeros, ranks = [], [], []
         for level in range(depth - 1, -1, -1):
-            bits = (ids >> ids.dtype.type(level)) & ids.dtype.type(1)
-            one = bits.astype(bool)
-            packed = np.packbits(one, bitorder="little")
+            packed = np.packbits((ids & ids.dtype.type(1 << level)) != 0, bitorder="little")
             planes.append(packed)
             ranks.append(_block_ranks(packed))
-            low = ids[~one]
+            low = _picked(ids, ~packed)
             zeros.append(len(low))
-            ids = np.concatenate([low, ids[one]])
+            ids = np.concatenate([low, _picked(ids, packed)])
         return cls(n, planes, np.array(zeros, np.int64), np.array(ranks, np.uint32))
 
     def to_columns(self) -> tuple[int, int, list[int], bytes, bytes]:
@@ -109,6 +110,29 @@ class WaveletMatrix:
         start, end = self._range(token, start, self.n if end is None else end)
         return end - start
 
+    def select(self, level: int, bit: int, k: np.ndarray) -> np.ndarray:
+        """Positions of the ``k``-th ones (or zeros) of a plane, from 0; there must be as many."""
+        k = np.asarray(k, np.int64)
+        before, plane = self.ranks[level].astype(np.int64), self.planes[level]
+        if not bit:
+            before = np.minimum(BLOCK * np.arange(len(before)), self.n) - before
+        out = np.empty(k.shape, np.int64)
+        for at in range(0, len(k), SELECTED):
+            part = k[at : at + SELECTED]
+            block = np.searchsorted(before, part, side="right") - 1
+            left = part - before[block]
+            places = block[:, None] * (BLOCK // 8) + np.arange(BLOCK // 8)
+            data = plane[np.minimum(places, len(plane) - 1)]
+            data = data if bit else ~data
+            counts = np.bitwise_count(data).astype(np.int64)
+            upto = counts.cumsum(axis=1)
+            byte = (upto <= left[:, None]).sum(axis=1)
+            here = np.arange(len(part))
+            left -= upto[here, byte] - counts[here, byte]
+            bits = np.unpackbits(data[here, byte][:, None], axis=1, bitorder="little")
+            out[at : at + SELECTED] = block * BLOCK + 8 * byte + (bits.cumsum(axis=1) <= left[:, None]).sum(axis=1)
+        return out
+
     def occurrences(self, token: int) -> np.ndarray:
         """Ascending positions of a token: its range at the lowest level, traced upwards by select."""
         start, end = self._range(token, 0, self.n)
@@ -116,9 +140,7 @@ class WaveletMatrix:
         depth = len(self.planes)
         for level in range(depth - 1, -1, -1):
             one = token >> (depth - 1 - level) & 1
-            bits = np.unpackbits(self.planes[level], bitorder="little", count=self.n)
-            where = np.flatnonzero(bits == one)
-            at = where[at - (self.zeros[level] if one else 0)]
+            at = self.select(level, one, at - (self.zeros[level] if one else 0))
         return np.sort(at)
 
     def tokens(self) -> np.ndarray:
@@ -127,7 +149,7 @@ class WaveletMatrix:
         kind = np.uint16 if depth <= 16 else np.uint32
         out = np.zeros(self.n, kind)
         for level in range(depth - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], bitorder="little", count=self.n).astype(bool)
+            one = np.unpackbits(self.planes[level], bitorder="little", count=self.n).view(bool)
             above = np.empty_like(out)
             z = self.zeros[level]
             above[~one] = out[:z]
@@ -136,6 +158,13 @@ class WaveletMatrix:
         return out.astype("<u4")
 
 
+def _picked(ids: np.ndarray, plane: np.ndarray) -> np.ndarray:
+    """Ids whose bit in a plane is set."""
+    kind = pa.from_numpy_dtype(ids.dtype)
+    mask = pa.Array.from_buffers(pa.bool_(), len(ids), [None, pa.py_buffer(plane)])
+    return pa.Array.from_buffers(kind, len(ids), [None, pa.py_buffer(ids)]).filter(mask).to_numpy()
+
+
 def _block_ranks(packed: np.ndarray) -> np.ndarray:
     counts = np.bitwise_count(packed)
     width = BLOCK // 8
@@ -143,12 +172,14 @@ def _block_ranks(packed: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)]).astype(np.uint32)
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = END_ID, shard: int = SHARD) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = END_ID, shard: int = SHARD, special_as_text: bool = False) -> None:
     """Encodes every whole text, appends ``end_id``, and writes shards in order of the id.
 
     Rows: part, number, n, depth, zeros, planes, ranks, ids (of the documents), lengths. Null
     and empty texts have ``end_id`` alone; null ids come first; rows with the same id keep no
-    order among them. An empty table gives no shard.
+    order among them. An empty table gives no shard. Columns other than these two are not read. A very
+    long text is held whole with its ids, and its shard is as long. The string of a special token gets
+    its id, as the library does it, unless ``special_as_text``.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id")
@@ -157,7 +188,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, id_column: str = "d
     schema = T.StructType([T.StructField(n, t) for n, t in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer, special_as_text).encode_batch, np.array([end_id], "<u4").tobytes()
         part, number, size = TaskContext.get().partitionId(), 0, 0
         held: list[bytes] = []
         docs: list = []
@@ -177,8 +208,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, id_column: str = "d
 
         for batch in batches:
             id_type = batch.column("id").type
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                data = encode(text.as_py()) + end
+            for doc, ids in zip(batch.column("id").to_pylist(), encode(batch.column("text")), strict=True):
+                data = ids + end
                 held.append(data)
                 docs.append(doc)
                 size += len(data) // 4

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -16,18 +17,26 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def plain():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(PATH)  # untouched, as the contract calls it
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 def test_cached_encoder_equals_the_library(plain):
-    small = CachedEncoder(PATH, words=40, pieces=30)
+    small = CachedEncoder(PATH, pieces=30)
     usual = CachedEncoder(PATH)
-    texts = [r[1] for r in rows()] + ["  a b", " x", "a ", "don't  stop\n\n now's it's", "€.x a", "a\tb c\x0cd\x1ce f\x85g h", "½½a. b²٣ ¨´x, x.\n.y", "a b c d", "\n", "a\nb\nc", "x . y ,, z%%%\nThe"]
-    for t in texts:
-        for e in (small, usual):
-            assert np.frombuffer(e.encode(t), "<u4").tolist() == plain(t), t
+    texts = [r[1] for r in rows()] + ["  a b", " x", "a ", "don't  stop\n\n now's it's", "€.x a", "a\tb c\x0cd\x1ce f\x85g h", "½½a. b²٣ ¨´x, x.\n.y", "a b c d", "\n", "a\nb\nc", "x . y ,, z%%%\nThe", "a.\n\nB c d", "a. \nB c", "a <|endoftext|> b", "<|endoftext|>"]
+    dice = random.Random(6)
+    letters = [*"ab .,'sL1²٣\n\t\x85 \u200b é!中🙂", "  ", "<|endoftext|>", "'s", "\n\n", " ", " "]
+    texts += ["".join(dice.choice(letters) for _ in range(dice.randrange(1, 25))) for _ in range(3000)]
+    batch = pa.array(texts, pa.string())
+    want = [plain(t) for t in texts]
+    for e in (small, usual):
+        for chunk in (300, 1 << 20):
+            assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_batch(batch, chunk)] == want
+    assert np.frombuffer(usual.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    as_text = np.frombuffer(CachedEncoder(PATH, special_as_text=True).encode("a <|endoftext|> b"), "<u4").tolist()
+    assert 50256 not in as_text and as_text != plain("a <|endoftext|> b")
+    assert list(usual.encode_batch(pa.array([], pa.string()))) == [] and usual.encode(None) == b""
 
 
 def test_pieces_hold_each_id_once(docs, no_docs, plain):
@@ -79,6 +88,25 @@ def test_best_level_is_the_best_of_all():
     assert all(x & (x - 1) == 0 for x in sizes)
 
 
+def test_open_windows_are_bounded():
+    """Rests of more than half a window fill no other's window; none of these stays open for long."""
+    p = packing.Packer(64, most_open=20)
+    for k in range(500):
+        p.add(k, bytes(4 * 47))
+        assert p.n_open == int(p.levels.sum()) <= 20
+    assert len(p.done) > 300
+    p.finish()
+    sizes = [sum(len(x[2]) // 4 for x in s) for s in p.done]
+    assert sum(sizes) == 500 * 47 and all(x == 64 for x in sizes[:-5])
+    at = defaultdict(list)
+    for doc, start, ids, n in (x for s in p.done for x in s):
+        assert n == 47
+        at[doc].append((start, start + len(ids) // 4))
+    for parts in at.values():
+        parts.sort()
+        assert parts[0][0] == 0 and parts[-1][1] == 47 and all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
+
+
 def test_wavelet_matrix():
     dice = np.random.default_rng(1)
     for n, top in ((0, 5), (1, 1), (511, 3), (513, 70000), (5000, 300)):
@@ -92,6 +120,11 @@ def test_wavelet_matrix():
             i, j = sorted(dice.integers(0, n + 1, 2).tolist())
             assert w.count(token, i, j) == (ids[i:j] == token).sum()
             assert w.occurrences(token).tolist() == np.flatnonzero(ids == token).tolist()
+        for level in range(len(w.planes)):
+            bits = np.unpackbits(w.planes[level], bitorder="little", count=n)
+            for bit in (0, 1):
+                where = np.flatnonzero(bits == bit)
+                assert w.select(level, bit, np.arange(len(where))).tolist() == where.tolist()
 
 
 def test_shards_round_trip(spark, docs, no_docs, plain, tmp_path):
