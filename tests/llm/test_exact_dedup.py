@@ -59,3 +59,35 @@ def test_runs_merge_into_the_level(spark, docs):
 def test_empty_table(no_docs):
     assert ed.find_copies(no_docs).count() == 0
     assert ed.drop_copies(no_docs).count() == 0
+
+
+def test_lookup_in_several_runs_and_the_level(spark, docs):
+    index = ed.DigestIndex(spark)
+    for k in range(2):
+        index.flush(docs.filter(F.pmod("doc_id", F.lit(4)) == k), "doc_id", "text")
+    index.compact()
+    for k in range(2, 4):
+        index.flush(docs.filter((F.pmod("doc_id", F.lit(4)) == k) if k == 2 else (F.pmod("doc_id", F.lit(4)) == k) | F.col("doc_id").isNull()), "doc_id", "text")
+    assert len(index.runs) == 2
+    probe = docs.select(ed.digest(F.col("text")).alias("digest")).unionByName(spark.createDataFrame([(bytes(32),)], "digest binary"))
+    got = {(bytes(r["digest"]), r["keep_id"], r["group_size"]) for r in index.lookup(probe).collect()}
+    whole = ed.DigestIndex(spark)
+    whole.flush(docs, "doc_id", "text")
+    assert got == {(bytes(r["digest"]), r["keep_id"], r["group_size"]) for r in whole.compact().collect()}
+    assert ed.DigestIndex(spark).lookup(probe.select("digest", F.lit(1).alias("id"))).count() == 0
+
+
+def test_filter_rules_out_what_it_does_not_hold(spark):
+    held = spark.range(0, 3000).select(F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 256)).alias("digest"))
+    others = spark.range(3000, 13000).select(F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 256)).alias("digest"))
+    table = ed.bloom(held)
+    assert ed.with_chance(held, "digest", table, "maybe").filter("maybe").count() == 3000
+    assert ed.with_chance(others, "digest", table, "maybe").filter("maybe").count() < 50
+    plan = ed.with_chance(others, "digest", table, "maybe")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan
+
+
+def test_full_filter_only_lets_more_through(docs, monkeypatch):
+    monkeypatch.setattr(ed, "WORDS", 1)
+    groups = {norm(r[1]) for r in rows()}
+    assert Counter(norm(r["text"]) for r in ed.drop_copies(docs).collect()) == Counter(dict.fromkeys(groups, 1))
