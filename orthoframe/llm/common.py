@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 _local: list[str] = []
+_made: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,14 +60,37 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
+    if _made:
+        _made[-1].append(path)
     return out
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, all tables that were materialised inside; no result may read them after."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            drop_path(spark, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a table that :func:`materialize` returned and nothing needs now."""
-    sc = df.sparkSession.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(df.table_path)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    drop_path(df.sparkSession, df.table_path)
+
+
+def release(df: DataFrame) -> None:
+    """Lets Spark delete shuffle files that no DataFrame needs any more, which waits for a collection."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
