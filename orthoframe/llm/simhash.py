@@ -53,6 +53,14 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(ones.view("<u8")[0])
 
 
+def print_of(hashes: np.ndarray) -> int:
+    """Fingerprint of hashes of a set of shingles (its bits as a signed integer); 0 for none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        counts += _bit_counts(hashes[at : at + CHUNK])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     out = np.zeros(64, np.int64)
@@ -110,7 +118,8 @@ def near_duplicates(
 
     Null texts count as empty: fingerprint zero, linked like any other. Rows without an id get a
     component only through others: it is null if no row of the component has an id. Repeated
-    rows are returned as often as they come; an empty table gives no rows.
+    rows are returned as often as they come; an empty table gives no rows. Very long texts are hashed
+    whole, in chunks. Other columns are not read, so their names may be any.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     rows = materialize(with_fingerprints(rows, "text", "print", width, seed), "prints")

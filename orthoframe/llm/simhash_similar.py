@@ -1,16 +1,19 @@
-"""Near-duplicates by similarity of word shingles, found with prefix filtering.
+"""Near-duplicates by similarity of word shingles: SimHash balls first, prefix filtering for the rest.
 
 Two documents are linked when the Jaccard similarity of their sets of word shingles (five words)
 is at least 0.8. Every such pair is found, in buckets of any size:
 
-1. All documents put their shingles into one order. The larger of two sets at a similarity ``t``
-   has at most ``n - ceil(t * n)`` shingles of its own, and so has the smaller one; so the first
-   shared shingle is among the first ``n - ceil(t * n) + 1`` of both. A document emits those (its
+1. **Balls.** Each set has a 64-bit SimHash fingerprint, and fingerprints within two bits meet by the
+   balls of half that radius (:func:`.simhash.links`); pairs that meet are candidates. So are sets of equal
+   fingerprint, each with the first of them. This finds most copies with few changes.
+2. **Prefixes.** Fingerprints of sets at a similarity of 0.8 mostly lie further apart, so the rest needs
+   another way. All documents put their shingles into one order. The larger of two sets at a
+   similarity ``t`` has at most ``n - ceil(t * n)`` shingles of its own, and so has the smaller one; so the
+   first shared shingle is among the first ``n - ceil(t * n) + 1`` of both. A document emits those (its
    prefix), and a bucket holds the documents that emit the same shingle (Chaudhuri et al., 2006;
-   Xiao et al., 2008).
-2. In a bucket, each document is a candidate with the one that has the shingle earliest. Verified
-   links give first components, so a family of copies costs its members and not their pairs.
-3. Then all pairs of a bucket across components are candidates, unless they can't be linked: what
+   Xiao et al., 2008). In a bucket, each document is a candidate with the one that has the shingle earliest.
+3. Verified links give first components, so a family of copies costs its members and not their pairs.
+   Then all pairs of a bucket across components are candidates, unless they can't be linked: what
    comes after the shared shingle is too short in one of them (this holds for the bucket of the
    first shared shingle), or their parity sketches differ in more bits than the sets may differ in
    shingles. (A shingle flips one bit of a sketch, so no more bits differ than shingles do.)
@@ -18,7 +21,9 @@ is at least 0.8. Every such pair is found, in buckets of any size:
 
 Which order it is does not change the result, only the cost. Shingles that are common in a sample
 of the documents come last, by their number there; the others go by their hash. So a passage that
-many documents share makes no large buckets.
+many documents share makes no large buckets. Where all that a document has is common (in a large family
+of copies), its buckets may be large; these are known beforehand, as there are ``COMMON`` at most, and get
+their first document by a grouped minimum that is broadcast, so that no task gathers one of them.
 
 Step 3 compares all members of a bucket that no link joined, which is quadratic in their number.
 
@@ -38,11 +43,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import drop_table, fresh, materialize
+from .common import drop_table, fresh, materialize, release
 from .components import components
+from .simhash import links, print_of
 
 WIDTH = 5
 SIMILARITY = 0.8
+#: Bits in which fingerprints may differ that meet in balls.
+DISTANCE = 2
 #: 64-bit words of the shortest parity sketch, which holds half as many shingles as bits.
 WORDS = 16
 #: One document in so many is sampled for common shingles.
@@ -93,16 +101,22 @@ def folded(words: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, width: int, similarity: float, common: np.ndarray, times: np.ndarray) -> DataFrame:
-    """(id, text) -> (id, twin, n, prefix, sketch, folded); ``common`` shingles (ascending) go last, by ``times``."""
+    """(id, text) -> (id, twin, n, print, rare, prefix, sketch, folded).
+
+    ``common`` shingles (ascending) go last in the order, by ``times``; the prefix has ``rare`` others first.
+    """
     longs = T.ArrayType(T.LongType())
-    fields = [T.StructField("twin", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", longs), T.StructField("sketch", longs), T.StructField("folded", longs)]
+    fields = [T.StructField("twin", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("print", T.LongType()), T.StructField("rare", T.IntegerType()), T.StructField("prefix", longs), T.StructField("sketch", longs), T.StructField("folded", longs)]
     schema = T.StructType([docs.schema["id"], *fields])
 
-    def prefix(hashes: np.ndarray) -> np.ndarray:
+    def prefix(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+        length = rare = prefix_length(len(hashes), similarity)
         if len(common) and len(hashes):
             at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-            hashes = hashes[np.argsort(np.where(common[at] == hashes, times[at], 0), kind="stable")]
-        return hashes[: prefix_length(len(hashes), similarity)].view(np.int64)
+            often = np.where(common[at] == hashes, times[at], 0)
+            rare = min(length, int((often == 0).sum()))
+            hashes = hashes[np.argsort(often, kind="stable")]
+        return hashes[:length].view(np.int64), rare
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -111,11 +125,14 @@ def _prefixes(docs: DataFrame, width: int, similarity: float, common: np.ndarray
             words = [_split(t.as_py()) for t in batch.column("text")]
             sets = [_hashes(w, width) for w in words]
             sketches = [sketch(h) for h in sets]
+            prefixes = [prefix(h) for h in sets]
             columns = [
                 batch.column("id"),
                 pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
                 pa.array([len(h) for h in sets], pa.int32()),
-                pa.array([prefix(h) for h in sets], pa.list_(pa.int64())),
+                pa.array([print_of(h) for h in sets], pa.int64()),
+                pa.array([r for _, r in prefixes], pa.int32()),
+                pa.array([p for p, _ in prefixes], pa.list_(pa.int64())),
                 pa.array(sketches, pa.list_(pa.int64())),
                 pa.array([folded(x) for x in sketches], pa.list_(pa.int64())),
             ]
@@ -149,12 +166,26 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
 def _buckets(nodes: DataFrame) -> DataFrame:
     """(key, node, n, at, hub) of all buckets with two nodes or more; ``hub`` has the key earliest."""
-    emitted = nodes.select("node", "n", F.posexplode("prefix").alias("at", "key"))
+    emitted = nodes.select("node", "n", "rare", F.posexplode("prefix").alias("at", "key"))
+    hub, members = F.min(F.struct("at", "node")), F.count(F.lit(1))
     bucket = Window.partitionBy("key")
-    met = emitted.select("key", "node", "n", "at", F.min(F.struct("at", "node")).over(bucket)["node"].alias("hub"), F.count(F.lit(1)).over(bucket).alias("members"))
+    rare = emitted.filter("at < rare").select("key", "node", "n", "at", hub.over(bucket)["node"].alias("hub"), members.over(bucket).alias("members"))
+    often = emitted.filter("at >= rare").select("key", "node", "n", "at")
+    hubs = materialize(often.groupBy("key").agg(hub["node"].alias("hub"), members.alias("members")), "similar-hubs")
+    met = rare.unionByName(often.join(F.broadcast(hubs), "key"))  # at most COMMON rows
     return met.filter("members > 1").drop("members")
 
 
+def _balls(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints are equal or meet in a ball; a pair for each link."""
+    first = materialize(nodes.groupBy("print").agg(F.min("node").alias("node")), "similar-prints")
+    same = nodes.select("print", F.col("node").alias("a")).join(first.select("print", F.col("node").alias("b")), "print").filter("a <> b").select("a", "b")
+    met = links(first.select(F.col("print").alias("node"), "print"), DISTANCE)
+    for side in "ab":
+        met = met.join(first.select(F.col("print").alias(side), F.col("node").alias(f"node_{side}")), side)
+    return same.unionByName(met.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")))
+
+
 def _bits_allowed(similarity: float) -> Column:
     """In how many shingles two sets of ``n_a`` and ``n_b`` may differ."""
     return (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
@@ -216,12 +247,13 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
     Null texts count as empty; texts without words are equal to each other and to no other. Rows
     that repeat an id with different texts link those texts. Rows without an id are left out. An
-    empty table gives no rows.
+    empty table gives no rows. Very long texts are cut into shingles whole, in one task's memory. Sets of
+    exactly the similarity are linked. Other columns are not read, so their names may be any.
     """
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).filter("id is not null")
     rows = materialize(_prefixes(texts, width, similarity, *_common(texts, width)), "similar-prefixes")
     # equal word sequences: the smallest id stands for all
-    first = F.first(F.struct("n", "prefix", "sketch", "folded")).alias("of")
+    first = F.first(F.struct("n", "print", "rare", "prefix", "sketch", "folded")).alias("of")
     twins = materialize(rows.groupBy("twin").agg(F.min("id").alias("node"), first), "similar-twins")
     nodes = twins.select("node", "of.*")
     same = materialize(rows.select("id", "twin").join(twins.select("twin", "node"), "twin").select("id", "node"), "similar-same")
@@ -229,11 +261,15 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     own = texts.join(twins.select(F.col("node").alias("id")), "id", "left_semi")
     met = materialize(_buckets(nodes), "similar-buckets")
     star = met.filter("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
-    first = _verified(_near(star, nodes, similarity), own, width, similarity)
+    balls = materialize(_balls(nodes), "similar-balls")
+    release(texts)
+    first = _verified(_near(star.unionByName(balls), nodes, similarity), own, width, similarity)
+    drop_table(balls)
     roots = components(first)
     named = met.join(roots, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("label"))
     named = materialize(named, "similar-labels")
     drop_table(met)
+    release(texts)
     across = _across(named, nodes, similarity)
     second = _verified(across, own, width, similarity)
     repeats = same.filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
