@@ -15,7 +15,8 @@ r"""Personal data by weak supervision, in DataFrame operations.
 Base spans stay whatever the classifier says. Candidates stay arrays of their document's row: no
 join, and no shuffle but that of the pattern counts. Positions are code points, end exclusive.
 
-Patterns equal those of the contract in what they match; guards like ``(?<![0-9])`` with ``\G``
+Patterns equal those of the contract in what passes their checks (a run of fewer than 13 digits is no
+card, so it is not matched at all); guards like ``(?<![0-9])`` with ``\G``
 and possessive quantifiers keep them linear on very long runs.
 """
 
@@ -27,17 +28,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, let, materialize, read
+from .common import drop_table, fresh, let, materialize, read
 
 #: In the order of output.
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELERS = ("rules", "gazetteer", "context", "borders", "variety")
 EM_STEPS = 30
 CONTEXT = 32
+#: Elements of a block of running sums.
+RUN = 256
 
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[\x20-]?[0-9])++"
+CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 NATIONAL = r"(?<![0-9+])\(?[0-9]{3}\)?[\x20-][0-9]{3}-[0-9]{4}(?![0-9])"
 SECRET = r"(?:(?<![A-Za-z0-9_-])|\G)[A-Za-z0-9_-]{20,}+"
@@ -62,6 +65,26 @@ _MATCHES = "array<struct<s:int,e:int,t:string,before:string,after:string>>"
 _NONE = "array<struct<kind:string,s:int,e:int,base:boolean,votes:array<int>,size:int,digits:int>>"
 
 
+def _running(sizes: Column) -> Column:
+    """Sums of an array up to each element, by blocks of ``RUN``, so that no long array is copied for each."""
+    zero = F.lit(0)
+
+    def sums(part: Column, start: Column) -> Column:
+        return F.aggregate(part, F.array(start), lambda out, x: F.concat(out, F.array(F.element_at(out, -1) + x)), lambda out: F.slice(out, 2, RUN))
+
+    def fold(n: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(n), F.lit(RUN))
+
+        def blocks(first: Column) -> Column:
+            totals = F.transform(first, lambda at: F.aggregate(F.slice(n, at, F.lit(RUN)), zero, lambda a, x: a + x))
+            before = F.aggregate(totals, F.array(zero), lambda out, x: F.concat(out, F.array(F.element_at(out, -1) + x)))
+            return let(before, lambda b: F.flatten(F.transform(first, lambda at, k: sums(F.slice(n, at, F.lit(RUN)), F.get(b, k)))))
+
+        return let(firsts, blocks)
+
+    return let(sizes, fold)
+
+
 def matches(text: Column, pattern: str, needs: Column) -> Column:
     """All leftmost non-overlapping matches in order, with places and what stands around.
 
@@ -72,14 +95,16 @@ def matches(text: Column, pattern: str, needs: Column) -> Column:
 
     def fold(hits: Column) -> Column:
         def place(gaps: Column) -> Column:
-            def step(state: Column, x: Column) -> Column:
-                start = state["at"] + F.length(x["gap"])
-                end = start + F.length(x["hit"])
-                own = F.struct(start.alias("s"), end.alias("e"), x["hit"].alias("t"), F.right(x["gap"], F.lit(CONTEXT)).alias("before"), F.left(x["next"], F.lit(1)).alias("after"))
-                return F.struct(end.alias("at"), F.concat(state["out"], F.array(own)).alias("out"))
+            ends = _running(F.transform(hits, lambda h, i: F.length(F.get(gaps, i)) + F.length(h)))
+
+            def rows(end: Column) -> Column:
+                def one(h: Column, i: Column) -> Column:
+                    e = F.get(end, i)
+                    return F.struct((e - F.length(h)).alias("s"), e.alias("e"), h.alias("t"), F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("after"))
+
+                return F.transform(hits, one)
 
-            rows = F.transform(hits, lambda h, i: F.struct(F.get(gaps, i).alias("gap"), h.alias("hit"), F.get(gaps, i + 1).alias("next")))
-            return F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+            return let(ends, rows)
 
         return F.when(F.size(hits) > 0, let(F.split(text, pattern, -1), place)).otherwise(none)
 
@@ -178,9 +203,7 @@ def candidates(text: Column) -> Column:
         let(phones, lambda p: F.concat(p, F.filter(national, lambda x: ~F.exists(p, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))),
         _candidates("secret", matches(text, SECRET, digit), False),
     ]
-    # short numbers are matches of the card's pattern, but nothing to vote on
-    long_enough = [F.filter(f, lambda x: x["base"] | (x["e"] - x["s"] >= 12)) if k == "card" else f for k, f in zip(KINDS, found, strict=True)]
-    return F.concat(*long_enough).cast(_NONE)
+    return F.concat(*found).cast(_NONE)
 
 
 def reliabilities(patterns: DataFrame, steps: int = EM_STEPS) -> DataFrame:
@@ -275,8 +298,10 @@ def find_spans(docs: DataFrame, text_column: str = "text", spans: str = "spans",
     with kind, s, e, base, votes, size and digits, by kind and place.
 
     Null texts count as empty and have no spans; repeated rows are judged alike; an empty table
-    gives no rows.
+    gives no rows. Very long texts are searched whole. Where a kept column is called like ``spans``, the
+    spans' column gets underscores at its end.
     """
+    (spans,) = fresh(keep, spans)
     scored = materialize(docs.select(*keep, candidates(F.col(text_column)).alias(spans)), "pii-candidates")
     weights = train(scored, spans)
     if weights is None:
@@ -312,4 +337,4 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
     base = joined(F.filter("spans", lambda x: x["base"]))
-    return found.select("doc_id", *[number(k) for k in KINDS[:4]], F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[number(k) for k in KINDS[:4]], F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") > 0).alias("has_pii"))

@@ -24,6 +24,7 @@ TEXTS = [
     "a" * 30000 + "@b.cc",
     "1 " * 5000,
     "1.2.3.4 " * 300,
+    "1.2.3.4 4111 1111 1111 1111, a@b.cc " * 700,
     "",
 ]
 
@@ -54,7 +55,7 @@ def test_base_spans(spark, tmp_path):
         assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(x.startswith(k) for x in want) for k in PATTERNS], (i, want, r)
         assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), (i, want, r["spans"])
         spans = r["spans"].split(",") if r["spans"] else []
-        assert set(want) <= set(spans)
+        assert set(want) <= set(spans) and r["has_pii"] == bool(spans)
         keys = [(pii.KINDS.index(k), int(s), int(e)) for k, s, e in (x.split(":") for x in spans)]
         assert keys == sorted(keys)
 
@@ -103,3 +104,23 @@ def test_mask_and_empty(spark, no_docs):
     got = {r["doc_id"]: r["m"] for r in found.select("doc_id", pii.mask(F.col("text"), F.col("spans")).alias("m")).collect()}
     assert got == {1: "write to [email] or [ip]!", 2: "nothing", 3: None}
     assert pii.find_spans(no_docs).count() == 0
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        frame = spark.createDataFrame([("4111111111111111, 1.2.3.4 and " * n,)], "text string")
+        start = time.perf_counter()
+        assert frame.select(F.size(pii.candidates(F.col("text"))).alias("n")).first()["n"] == 2 * n
+        return time.perf_counter() - start
+
+    seconds(1000)
+    few = seconds(4000)
+    assert seconds(16000) < 10 * few + 1
+
+
+def test_kept_columns_may_be_called_spans(spark):
+    frame = spark.createDataFrame([(1, "a@b.com", "mine")], "doc_id long, text string, spans string")
+    got = pii.find_spans(frame, keep=("doc_id", "spans")).first()
+    assert got["spans"] == "mine" and [x["kind"] for x in got["spans_"]] == ["email"]
