@@ -15,6 +15,9 @@ its last undecided documents to the next level, which has fewer blocks by a fact
 documents from long to short, so what remains are short ones. A hot source is many blocks, and no
 step gathers a source.
 
+Rows alike in id, size and source are interchangeable. They are one item with a number of rows: its
+whole copies are spread evenly over them, and only the one fractional copy that is left flies.
+
 Results depend on ids, sizes and sources alone (pseudo-random order by hash), so reruns agree.
 """
 
@@ -35,6 +38,8 @@ BLOCK = 4096
 #: Documents of a source that the last flight spares for the landing.
 LANDING = 10
 EPS = 1e-9
+#: Numbers that one array holds where a repeated row is spread out.
+RUN = 1 << 16
 
 
 def n_words(text: Column) -> Column:
@@ -133,45 +138,37 @@ def _fly(most: int):
     return run
 
 
-def take(
-    docs: DataFrame,
-    id_column: str = "doc_id",
-    source_column: str = "source",
-    size: Column | None = None,
-    weights: Sequence[float] = (1, 2, 3),
-    cap: float = 3.0,
-    block: int = BLOCK,
+def _decided(
+    docs: DataFrame, id_column: str, source_column: str, size: Column | None, weights: Sequence[float], cap: float, block: int
 ) -> DataFrame:
-    """(id, source, size, source_size, target, copies): how often the mix takes each row.
-
-    ``size`` is an expression over ``docs`` (words of ``text`` by default); null sizes count 0.
-    A source without any words takes none of its documents. Repeated rows are decided each for
-    itself; an empty table gives no rows.
-    """
+    """(id, source, size, source_size, target, n, total): rows alike, and how often the mix takes all of them."""
     size = n_words(F.col("text")) if size is None else size
     rows = docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
-    rows = materialize(rows, "mix-sizes")
-    sums = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "mix-sources")
-    goals = materialize(targets(sums, weights, cap), "mix-targets")
+    rows = materialize(rows.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
+    sums = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("items"))
+    sums = materialize(sums, "mix-sources")
+    goals = targets(sums.drop("items"), weights, cap).join(sums.select(F.col("source").alias("again"), "items"), F.col("source").eqNullSafe(F.col("again"))).drop("again")
+    goals = materialize(goals, "mix-targets")
     drop_table(sums)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    goal = goals.select(F.col("source").alias("s"), "rank", "source_size", "target", "n", F.least(rate, F.lit(float(cap))).alias("rate"))
+    goal = goals.select(F.col("source").alias("s"), "rank", "items", F.least(rate, F.lit(float(cap))).alias("rate"))
     joined = rows.join(goal, F.col("source").eqNullSafe(F.col("s")))
-    whole = F.floor(F.col("rate") + EPS)
-    start = joined.select("id", "rank", "size", whole.cast("int").alias("whole"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("prob"), F.col("n").alias("in_source"))
+    wanted = F.col("rate") * F.col("n")
+    whole = F.floor(wanted + EPS)
+    start = joined.select("id", "rank", "size", "n", whole.cast("long").alias("whole"), F.greatest(wanted - whole, F.lit(0.0)).alias("prob"), F.col("items").alias("in_source"))
     decided: list[DataFrame] = []
-    level, most = 0, goals.agg(F.max("n")).first()[0]
+    level, most = 0, goals.agg(F.max("items")).first()[0]
     while True:
-        # rows are dealt by id and size, so that runs agree; rows alike in both are interchangeable
+        # items are dealt by id and size, so that runs agree
         dealt = start.withColumn("dice", F.xxhash64("id", "size", F.lit(level)))
         n_blocks = F.ceil(F.col("in_source") / block)
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("dice"), n_blocks))
         last = not most or most <= block
-        dealt = dealt.select("id", "rank", "size", "whole", "prob", "in_source", "dice", "block")
+        dealt = dealt.select("id", "rank", "size", "n", "whole", "prob", "in_source", "dice", "block")
         flown = dealt.groupBy("rank", "block").applyInPandas(_fly(block), dealt.schema)
         flown = materialize(flown, f"mix-level-{level}")
         done = (F.col("prob") == 0) | (F.col("prob") == 1)
-        decided.append(flown.filter(done).select("id", "rank", "size", (F.col("whole") + F.col("prob").cast("int")).alias("copies")))
+        decided.append(flown.filter(done).select("id", "rank", "size", "n", (F.col("whole") + F.col("prob").cast("long")).alias("total")))
         if last:
             break
         level += 1
@@ -184,26 +181,89 @@ def take(
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
-    return out.join(goals, "rank").select("id", "source", "size", "source_size", "target", "copies")
+    return out.join(goals.drop("n", "items"), "rank").select("id", "source", "size", "source_size", "target", "n", "total")
+
+
+def _numbers(n: Column) -> Column:
+    """0 to n - 1 as arrays of bounded length, to be exploded twice."""
+    firsts = F.sequence(F.lit(0).cast("long"), n - 1, F.lit(RUN).cast("long"))
+    return F.transform(firsts, lambda a: F.sequence(a, F.least(a + (RUN - 1), n - 1)))
+
+
+def take(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    source_column: str = "source",
+    size: Column | None = None,
+    weights: Sequence[float] = (1, 2, 3),
+    cap: float = 3.0,
+    block: int = BLOCK,
+) -> DataFrame:
+    """(id, source, size, source_size, target, copies): how often the mix takes each row.
 
+    ``size`` is an expression over ``docs`` (words of ``text`` by default); null sizes count 0.
+    A source without any words takes none of its documents. Null ids are an id, null sources a source.
+    Of rows alike in id, source and size some may have one copy more than others. A very long text is
+    one large size. Other columns are not read. An empty table gives no rows.
+    """
+    found = _decided(docs, id_column, source_column, size, weights, cap, block)
+    each = found.withColumn("some", F.explode(_numbers(F.col("n")))).withColumn("k", F.explode("some"))
+    copies = F.floor(F.col("total") / F.col("n")) + F.when(F.col("k") < F.pmod("total", F.col("n")), 1).otherwise(0)
+    return each.select("id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"))
 
-def mix(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """``docs`` as the mix has them: each row as often as :func:`take` says.
 
-    Rows that share an id, or have none, are told apart by their size and source only; if such
-    rows were decided differently, each gets the largest of their numbers.
+def mix(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    source_column: str = "source",
+    size: Column | None = None,
+    weights: Sequence[float] = (1, 2, 3),
+    cap: float = 3.0,
+    block: int = BLOCK,
+) -> DataFrame:
+    """``docs`` as the mix has them: each row as often as :func:`take` says, other columns untouched.
+
+    Rows alike in id, source and size are numbered (in the order in which they were written to a table
+    of their own), and the first ones have the copies that do not go round. Nulls, empty tables and very
+    long texts as for :func:`take`; other columns may have any names.
     """
     names = docs.columns
-    source = options.get("source_column", "source")
-    key, src, n, copy = fresh(names, "mix_id", "mix_source", "mix_n", "mix_copy")
-    taken = take(docs, id_column, **options).groupBy("id", "source").agg(F.max("copies").alias(n))
-    taken = taken.filter(F.col(n) > 0).select(F.col("id").alias(key), F.col("source").alias(src), n)
-    same = F.col(id_column).eqNullSafe(F.col(key)) & F.col(source).eqNullSafe(F.col(src))
-    out = docs.join(taken, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
-    return out.select(names)
+    found = _decided(docs, id_column, source_column, size, weights, cap, block)
+    key, src, own, n, total, copies = fresh(names, "mix_id", "mix_source", "mix_size", "mix_n", "mix_total", "mix_copies")
+    found = found.select(*[F.col(c).alias(a) for c, a in (("id", key), ("source", src), ("size", own), ("n", n), ("total", total))])
+    found = materialize(found, "mix-decided")
+
+    def times(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(names)
+
+    same = F.col(id_column).eqNullSafe(F.col(key)) & F.col(source_column).eqNullSafe(F.col(src))
+    # (id, source) of several rows; these need their size and a number to be told apart
+    groups = found.groupBy(key, src).agg(F.sum(n).alias("rows")).filter("rows > 1").select(F.col(key).alias("k"), F.col(src).alias("s"))
+    groups = materialize(groups, "mix-repeated")
+    if groups.isEmpty():
+        return times(docs.join(found.withColumn(copies, F.col(total)).filter(F.col(copies) > 0), same))
+    repeated = F.col(key).eqNullSafe(F.col("k")) & F.col(src).eqNullSafe(F.col("s"))
+    alone = found.join(groups, repeated, "left_anti").withColumn(copies, F.col(total)).filter(F.col(copies) > 0)
+    once = times(docs.join(alone, same))
+    measure = F.coalesce(n_words(F.col("text")) if size is None else size, F.lit(0)).cast("long")
+    wide = F.struct(*[F.col(c) for c in names]).alias("row")
+    of = docs.select(wide, F.col(id_column).alias("id"), F.col(source_column).alias("source"), measure.alias("size"))
+    of = of.join(groups, F.col("id").eqNullSafe(F.col("k")) & F.col("source").eqNullSafe(F.col("s")), "left_semi")
+    # numbers stay as they are once they were written; the high bits are the part's
+    of = materialize(of.withColumn("number", F.monotonically_increasing_id()), "mix-repeats").withColumn("part", F.shiftrightunsigned("number", 33))
+    group = ["id", "source", "size"]
+    held = of.groupBy(*group, "part").agg(F.count(F.lit(1)).alias("held"))
+    earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(*[F.col(c).alias(f"h_{c}") for c in (*group, "part")], F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"))
+    of = of.withColumn("inside", F.row_number().over(Window.partitionBy(*group, "part").orderBy("number")) - 1)
+    met = [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in (*group, "part")]
+    of = of.join(held, met[0] & met[1] & met[2] & met[3]).withColumn("place", F.col("before") + F.col("inside"))
+    of = of.select("row", "place", *group).join(found, F.col("id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(src)) & (F.col("size") == F.col(own)))
+    each = F.floor(F.col(total) / F.col(n)) + F.when(F.col("place") < F.pmod(total, F.col(n)), 1).otherwise(0)
+    return once.unionByName(times(of.select("row.*", each.alias(copies)).filter(F.col(copies) > 0)))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query: what the mix of all documents takes of each."""
+    """Query: what the mix of all documents takes of each; repeated rows are returned each."""
     found = take(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "copies")

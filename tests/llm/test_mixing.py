@@ -54,11 +54,43 @@ def test_targets_and_copies(docs, no_docs):
 def test_mixed_rows(docs):
     out = mixing.mix(docs)
     assert out.columns == docs.columns
-    taken = {r["id"]: r["copies"] for r in mixing.take(docs).collect() if r["id"] != 140}
+    taken = defaultdict(int)
+    for r in mixing.take(docs).collect():
+        taken[r["id"], r["size"]] += r["copies"]
     count = defaultdict(int)
     for r in out.collect():
-        count[r["doc_id"]] += 1
-    assert {k: v for k, v in taken.items() if v} == {k: v for k, v in count.items() if k != 140}
+        count[r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))] += 1
+    assert {k: v for k, v in taken.items() if v} == count
+
+
+def test_repeated_rows_are_one_item(spark):
+    """A third of all rows are alike in id and size; blocks stay small, and copies go round evenly."""
+    dice = random.Random(8)
+    data = [(7, 50, "a", f"x{i}") for i in range(3000)] + [(None, 20, "b", "y")] * 500 + [(100 + i, dice.randint(1, 90), dice.choice("ab"), "z") for i in range(5000)]
+    frame = spark.createDataFrame(data, "doc_id long, size long, source string, mix_id string").repartition(5)
+    got = mixing.take(frame, size=frame["size"], block=200).collect()
+    assert len(got) == len(data)
+    for s in "ab":
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["copies"] * r["size"] for r in mine) - mine[0]["target"]) <= 50
+    for i in (7, None):
+        copies = [r["copies"] for r in got if r["id"] == i]
+        assert max(copies) - min(copies) <= 1
+    out = mixing.mix(frame, size=frame["size"], block=200)
+    assert out.columns == frame.columns
+    want, have = defaultdict(int), defaultdict(int)
+    for r in got:
+        want[r["id"], r["size"]] += r["copies"]
+    rows_ = out.collect()
+    for r in rows_:
+        have[r["doc_id"], r["size"]] += 1
+    assert {k: v for k, v in want.items() if v} == have
+    each = defaultdict(int)
+    for r in rows_:
+        if r["doc_id"] == 7:
+            each[r["mix_id"]] += 1
+    least = want[7, 50] // 3000
+    assert set(each.values()) <= {least, least + 1} - {0}
 
 
 def test_flight_keeps_both_totals():
