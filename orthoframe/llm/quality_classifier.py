@@ -3,8 +3,9 @@
 * A **document classifier** (logistic regression on counts of the text) is fitted on a bounded
   sample of labelled documents and gives each document log-odds of being good.
 * **Sites**: documents belong to a host and a path under it (here source, and language within
-  it). Each document adds to its path's sums: its label with weight 1, or else the classifier's
-  probability with a small weight. Paths add up to hosts, hosts to the whole.
+  it). Labels add up by path, paths to hosts, hosts to the whole. Sites count labels only, not what the
+  classifier thinks, so that no evidence counts twice; for the same reason a labelled document's own
+  label is left out of its site's sums when that document is judged.
 * **Shrinkage**: a host's mean is drawn to the global mean, a path's mean to its host's, as Beta
   posteriors whose prior strengths come from the spread of the means (method of moments). Sparse
   sites stay near their parent.
@@ -12,7 +13,8 @@
   own log-odds.
 
 Site sums are grouped with partial sums before the shuffle; only the sums of hosts' spread reach
-the driver. The sample for the fit holds at most ``SAMPLE`` documents, smallest hashes first.
+the driver. The sample for the fit holds about ``SAMPLE`` documents at most: those whose hash of the
+id lies below a threshold that follows from the number of labels, so no task sorts or gathers others.
 """
 
 from __future__ import annotations
@@ -28,8 +30,6 @@ from .quality_rules import _features as text_features
 
 #: Labelled documents that the document classifier is fitted on, at most.
 SAMPLE = 50_000
-#: Weight of a document without label in its site's sums.
-SOFT_WEIGHT = 0.1
 STRENGTH = (1.0, 10_000.0)
 
 INPUTS = ("log_words", "mean_length", "symbol_ratio", "capital_ratio", "bang_ratio", "dup_line_ratio", "repeat_ratio")
@@ -76,11 +76,18 @@ def _labels(labels: DataFrame) -> DataFrame:
     return known.groupBy(F.col("doc_id").alias("label_id")).agg((F.max("quality") > 0).cast("double").alias("y"))
 
 
+def below(key: Column, share: float) -> Column:
+    """Whether a hash of the key lies in the first ``share`` of all hashes."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 32)) < F.lit(int(share * (1 << 32)))
+
+
 def fit(scored: DataFrame, sample: int = SAMPLE) -> Logistic:
-    rows = scored.filter("y is not null").orderBy(F.xxhash64("id"), "id").limit(sample)
-    data = rows.select("y", *[c.alias(n) for c, n in zip(inputs(F.col("f")), INPUTS, strict=True)]).collect()
-    x = np.array([[r[n] for n in INPUTS] for r in data], float).reshape(-1, len(INPUTS))
-    return fit_logistic(x, np.array([r["y"] for r in data], float))
+    known = scored.filter("y is not null")
+    n = known.count()
+    if n > sample:  # a little less, as the share of hashes below the threshold varies
+        known = known.filter(below(F.col("id"), 0.98 * sample / n)).limit(sample)
+    data = known.select("y", *[c.alias(n_) for c, n_ in zip(inputs(F.col("f")), INPUTS, strict=True)]).toPandas()
+    return fit_logistic(data[list(INPUTS)].to_numpy(float).reshape(-1, len(INPUTS)), data["y"].to_numpy(float))
 
 
 def _strength(table: DataFrame, mean: Column, parent: Column) -> float:
@@ -101,9 +108,10 @@ def classify(
 ) -> DataFrame:
     """(id, classifier, host_mean, path_mean, posterior, kept) for each row.
 
-    Null hosts and paths are sites of their own; null texts count as empty. Without labels the
-    classifier and all means are one half, and all documents are kept. Repeated rows are judged
-    alike; an empty table gives no rows.
+    Null hosts and paths are sites of their own; null texts count as empty; very long texts are counted
+    whole. Without labels the classifier and all means are one half, and all documents are kept.
+    Repeated rows are judged alike, and their label counts for each; a document at the threshold is
+    kept; an empty table gives no rows. Other columns are not read, so their names may be any.
     """
     marks = _labels(labels)
     rows = docs.select(F.col(id_column).alias("id"), F.col(host).alias("host"), F.col(path).alias("path"), text_features(F.col(text_column)).alias("f"))
@@ -111,25 +119,31 @@ def classify(
     model = fit(rows, sample)
     odds = model.log_odds(inputs(F.col("f")))
     chance = 1 / (1 + F.exp(-odds))
-    weight = F.when(F.col("y").isNotNull(), 1.0).otherwise(SOFT_WEIGHT)
-    sums = rows.withColumn("w", weight).withColumn("v", F.coalesce("y", chance) * F.col("w"))
-    paths = materialize(sums.groupBy("host", "path").agg(F.sum("w").alias("n"), F.sum("v").alias("s")), "quality-paths")
+    paths = materialize(rows.groupBy("host", "path").agg(F.count("y").cast("double").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("s")), "quality-paths")
     hosts = materialize(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "quality-hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = float(np.clip(total["s"] / total["n"], 1e-6, 1 - 1e-6)) if total["n"] else 0.5
     k_host = _strength(hosts, F.col("s"), F.lit(mean))
-    hosts_mean = hosts.select(F.col("host").alias("h"), ((F.col("s") + k_host * mean) / (F.col("n") + k_host)).alias("host_mean"))
-    joined = materialize(paths.join(hosts_mean, F.col("host").eqNullSafe(F.col("h"))).drop("h"), "quality-sites")
-    k_path = _strength(joined, F.col("s"), F.col("host_mean"))
-    sites = joined.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_mean", ((F.col("s") + k_path * F.col("host_mean")) / (F.col("n") + k_path)).alias("path_mean"))
-    sites = materialize(sites, "quality-means")
-    for t in (paths, hosts, joined):
+
+    def shrunk(s: Column, n: Column, k: float, parent: Column) -> Column:
+        return (s + k * parent) / (n + k)
+
+    named = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
+    joined = paths.join(named, F.col("host").eqNullSafe(F.col("h"))).drop("h")
+    sites = materialize(joined.withColumn("host_mean", shrunk(F.col("host_s"), F.col("host_n"), k_host, F.lit(mean))), "quality-sites")
+    k_path = _strength(sites, F.col("s"), F.col("host_mean"))
+    for t in (paths, hosts):
         drop_table(t)
-    shift = F.log(F.col("path_mean") / (1 - F.col("path_mean"))) - float(np.log(mean / (1 - mean)))
-    posterior = 1 / (1 + F.exp(-(odds + shift)))
+    # a row's own label is taken out of the sums of its sites
+    own_n, own_s = F.when(F.col("y").isNotNull(), 1.0).otherwise(0.0), F.coalesce("y", F.lit(0.0))
+    host_mean = shrunk(F.col("host_s") - own_s, F.col("host_n") - own_n, k_host, F.lit(mean))
+    path_mean = shrunk(F.col("s") - own_s, F.col("n") - own_n, k_path, host_mean)
     site = F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))
-    out = rows.join(sites, site).select("id", chance.alias("classifier"), "host_mean", "path_mean", posterior.alias("posterior"))
-    return out.withColumn("kept", F.col("posterior") >= threshold)
+    out = rows.join(sites.withColumnsRenamed({"host": "h", "path": "p"}).drop("host_mean"), site)
+    out = out.select("id", chance.alias("classifier"), odds.alias("odds"), host_mean.alias("host_mean"), path_mean.alias("path_mean"))
+    shift = F.log(F.col("path_mean") / (1 - F.col("path_mean"))) - float(np.log(mean / (1 - mean)))
+    posterior = 1 / (1 + F.exp(-(F.col("odds") + shift)))
+    return out.select("id", "classifier", "host_mean", "path_mean", posterior.alias("posterior")).withColumn("kept", F.col("posterior") >= threshold)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
