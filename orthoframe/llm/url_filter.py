@@ -3,13 +3,15 @@
 * **Rules** name a host and a path; one fits its host and all subdomains where the path starts
   with the rule's; the longest that fits decides.
 * **Suffix statistics** are counted over all labelled URLs: for the host's last label, and for it
-  with the path's first segment, how many URLs and how many of them blocked.
-* **Trees** are fitted on a bounded sample of distinct labelled URLs (``SAMPLE``, smallest hashes
-  first, weighted by their number) and judge the URLs that no rule fits. Features: length, depth,
+  with the path's first segment, how many URLs and how many of them blocked. They are counted in two
+  folds (by a hash of the URL): a URL that the trees are fitted on has the rates of the other fold, so
+  its own label is not among its features.
+* **Trees** are fitted on a bounded sample of distinct labelled URLs (about ``SAMPLE`` at most, those
+  whose hash lies below a threshold, weighted by their number) and judge the URLs that no rule fits. Features: length, depth,
   digit ratio, entropy, parameter count, labels and hyphens of the host, suffix statistics.
 
 Labels are given, or else come from the rules themselves: URLs that a rule decides are the
-labelled ones.
+labelled ones. In that case the trees carry the rules' judgement on to URLs like those that rules decide.
 """
 
 from __future__ import annotations
@@ -181,20 +183,32 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-score))
 
 
+def fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit(7)), F.lit(2))
+
+
 def statistics(labelled: DataFrame, key: Column, name: str) -> DataFrame:
-    """(key, rate): share of blocked URLs of each key, shrunk towards the overall share."""
-    sums = labelled.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("b"))
-    sums = materialize(sums, f"url-{name}")
-    total = sums.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
-    overall = (total["b"] or 0) / (total["n"] or 1)
-    return sums.select(name, ((F.col("b") + PRIOR * overall) / (F.col("n") + PRIOR)).alias(f"{name}_rate"))
+    """(key, rate, rate_0, rate_1): share of blocked URLs of each key, shrunk towards the overall share, in
+    all labelled URLs and without those of fold 0 or 1."""
+    parts = [("", F.lit(True)), ("_0", F.col("fold") != 0), ("_1", F.col("fold") != 1)]
+    counts = [c for s, kept in parts for c in (F.count_if(kept).alias(f"n{s}"), F.count_if(kept & F.col("blocked")).alias(f"b{s}"))]
+    sums = materialize(labelled.withColumn("fold", fold(F.col("url"))).groupBy(key.alias(name)).agg(*counts), f"url-{name}")
+    total = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums.columns[1:]]).first()
+    rates = []
+    for s, _ in parts:
+        overall = total[f"b{s}"] / (total[f"n{s}"] or 1)
+        rates.append(((F.col(f"b{s}") + PRIOR * overall) / (F.col(f"n{s}") + PRIOR)).alias(f"{name}_rate{s}"))
+    return sums.select(name, *rates)
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, labels: DataFrame | None = None, id_column: str = "page_id", url_column: str = "url", sample: int = SAMPLE) -> DataFrame:
     """(id, host, path, rule, verdict, chance): a row for each page; chance is the trees' (null by rule).
 
     ``labels`` has (url, blocked). Null URLs and those without ``://`` have empty host and path,
-    which no rule fits. Without labelled URLs the trees allow all. An empty table gives no rows.
+    which no rule fits. Without labelled URLs the trees allow all. An empty table gives no rows; repeated
+    rows are judged alike, and each counts as a labelled URL; of rules of equal length that fit, the last
+    by code points decides; a chance of one half blocks. Very long URLs are read whole. Columns other
+    than id and URL are not read, so their names may be any.
     """
     host, path = host_and_path(F.col("url"))
 
@@ -214,13 +228,16 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, labels: DataFrame | N
     def rated(frame: DataFrame) -> DataFrame:
         return frame.join(by_suffix, "suffix", "left").join(by_section, "section", "left")
 
-    chosen = known.groupBy("url", "suffix", "section", "blocked").agg(F.count(F.lit(1)).alias("n"))
-    chosen = chosen.orderBy(F.xxhash64("url"), "url", "blocked").limit(sample)
-    data = rated(chosen).select("url", "blocked", "n", "suffix_rate", "section_rate").orderBy("url", "blocked").collect()
+    chosen = materialize(known.groupBy("url", "suffix", "section", "blocked").agg(F.count(F.lit(1)).alias("n")), "url-known")
+    n_known = chosen.count()
+    if n_known > sample:  # a little less, as the share of hashes below the threshold varies
+        chosen = chosen.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 32)) < F.lit(int(0.98 * sample / n_known * (1 << 32)))).limit(sample)
+    other = [F.when(fold(F.col("url")) == 0, F.col(f"{n}_rate_0")).otherwise(F.col(f"{n}_rate_1")).alias(n) for n in ("suffix", "section")]
+    data = rated(chosen).select("url", "blocked", "n", *other).toPandas().sort_values(["url", "blocked"])
     model = None
-    if data:
-        x = np.array([[*lexical(r["url"]), r["suffix_rate"], r["section_rate"]] for r in data])
-        model = BoostedTrees().fit(x, np.array([float(r["blocked"]) for r in data]), np.array([float(r["n"]) for r in data]))
+    if len(data):
+        x = np.column_stack([np.array([lexical(u) for u in data["url"]]), data["suffix"].to_numpy(float), data["section"].to_numpy(float)])
+        model = BoostedTrees().fit(x, data["blocked"].to_numpy(float), data["n"].to_numpy(float))
 
     kind = rows.schema["id"].dataType.simpleString()
     rest = rated(rows.filter("rule is null")).select("id", "host", "path", "url", "suffix_rate", "section_rate")
