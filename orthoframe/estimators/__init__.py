@@ -59,7 +59,7 @@ MEAN, SPREAD, MULTIPLE = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225), 128
 def load_network(model_path: str, make: Callable | None = None):
     """A network on the CPU: TorchScript, or weights for the module that ``make()`` gives.
 
-    Weights are a state dictionary, in a ``.tar`` checkpoint under ``state_dict``; only tensors are
+    Weights are a state dictionary, in a ``.tar`` checkpoint its entry ``state_dict``; only tensors are
     unpickled. Needs torch, which this library does not install.
     """
     import torch

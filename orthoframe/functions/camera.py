@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .linalg import Mat, Vec, add, dehomogenise, num, scale, sub
+from .linalg import Mat, Vec, add, dehomogenise, num, sub
 
 
 def camera_matrix(c: Column, x0: Column, y0: Column, downsample: float = 1.0) -> Mat:
@@ -165,14 +165,3 @@ def transfer(x: Column, y: Column, disparity: Column, left_map: Mat, right_map:
 def ray(x: Column, y: Column, k: Mat, r: Mat) -> Vec:
     """Direction of a pixel in world space, of unnormalised length."""
     return r.T @ [x - k.rows[0][2], y - k.rows[1][2], k.rows[0][0]]
-
-
-def shifted(point: Vec, by: Vec) -> Vec:
-    return sub(point, by)
-
-
-def scaled_matrix(k: Mat, factor: float) -> Mat:
-    """A camera matrix for images smaller by ``factor``; its last entry stays 1."""
-    rows = [scale(r, num(1 / factor)) for r in k.rows]
-    rows[2][2] = k.rows[2][2]
-    return Mat(rows)

@@ -207,7 +207,7 @@ def stem(name: Column) -> Column:
 
 
 def cache_names(base: Column, side: Column) -> dict[str, Column]:
-    """Names under which a pair's rasters are kept."""
+    """Names by which a pair's rasters are kept."""
     both = F.concat(stem(base), F.lit("_"), stem(side))
     suffixes = {"disparity": ".tif", "warped": "_warped_RL.tif", "deviations": "_deviations.tif", "mask": "_mask.tif"}
     return {k: F.concat(both, F.lit(s)) for k, s in suffixes.items()} | {"rectified": F.concat(stem(base), F.lit("_rectified.tif"))}

@@ -62,11 +62,6 @@ def shift_to_origin(points: DataFrame, settings: DataFrame) -> DataFrame:
     return moved.withColumns({"X": F.col("X") - F.col("x_shift"), "Y": F.col("Y") - F.col("y_shift")}).drop("x_shift", "y_shift")
 
 
-def truncated_views(n: Column) -> Column:
-    """The number of views as the cloud format's unsigned byte holds it."""
-    return F.pmod(n, F.lit(256)).cast("smallint")
-
-
 def mean_height(images: DataFrame, las: DataFrame) -> DataFrame:
     """One row: mean camera height less mean ground height."""
     ground = las.agg(F.avg("z").alias("ground"))

@@ -10,7 +10,7 @@ from ..functions.linalg import num
 from ..operators.raster import explode_tile
 
 FOCAL, ROWS, COLS = 1000.0, 480, 640
-SIDE = 8  # an embedding's first 64 numbers are one 8 x 8 tile
+SIDE = 8  # an embedding's 64 numbers are one 8 x 8 tile
 
 #: Cameras: a grid of suppliers. The same derivation as :func:`cameras`.
 CAMERA_SQL = f"""cam AS (
@@ -91,13 +91,19 @@ pc AS (SELECT img_id + 5000 AS pc_id, 'img' || img_id AS pc_name FROM image WHER
 
 def tiles(spark: SparkSession, sf: str) -> DataFrame:
     """(vec_id, label, y, x, d): pixels of the 8 x 8 tiles."""
-    rows = table(spark, sf, "embeddings").withColumn("e", F.slice("embedding", 1, SIDE * SIDE))
-    return explode_tile(rows, "e", SIDE, ["vec_id", "label"])
+    return explode_tile(whole_tiles(spark, sf), "e", SIDE, ["vec_id", "label"])
+
+
+def whole_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings with their numbers as ``e``; one that is no 8 x 8 tile is an error."""
+    size = F.coalesce(F.size("embedding"), F.lit(-1))
+    wrong = F.raise_error(F.concat(F.lit("an embedding of a length other than 64: "), size.cast("string")))
+    return table(spark, sf, "embeddings").withColumn("e", F.when(size == SIDE * SIDE, F.col("embedding")).otherwise(wrong.cast("array<float>")))
 
 
 TILE_SQL = f"""px AS (
   SELECT vec_id, label, (p // {SIDE})::INT AS y, (p % {SIDE})::INT AS x, embedding[p + 1]::DOUBLE AS d
-  FROM (SELECT *, unnest(range(0, least(len(embedding), {SIDE * SIDE}))) AS p FROM embeddings))"""
+  FROM (SELECT *, unnest(range(0, len(embedding))) AS p FROM embeddings))"""
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:

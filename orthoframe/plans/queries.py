@@ -12,6 +12,7 @@ from ..functions import camera, rings
 from ..functions.linalg import Mat, midpoint, num, rounded
 from ..operators import catalog, metrics, raster, spatial, triangulation
 from . import fixtures as fx
+from . import rectify_sql
 
 R = "floor(({}) * 1e6 + 0.5) / 1e6"  # as linalg.rounded
 QUERIES: dict = {}
@@ -480,9 +481,18 @@ def q_rotated_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return pair.select(F.col("left_img_id").alias("base"), F.col("right_img_id").alias("side"), rounded(ratio).alias("ratio"))
 
 
-@query()
+_RECT = {"r": "q", "h1": "h", "h2": "k"}
+
+
+@query(
+    f"WITH {rectify_sql.layers(_HEIGHT_SQL)} SELECT base, side, "
+    + ", ".join(f"{r(f'{q}{i}{j}')} AS {n}{i}{j}" for n, q in _RECT.items() for i in range(3) for j in range(3))
+    + ", "
+    + ", ".join(f"{r(c)} AS {c}" for c in ("x_min", "x_max", "y_min", "y_max"))
+    + ", out_rows, out_cols, shift FROM rect"
+)
 def q_rectification(spark: SparkSession, sf: str) -> DataFrame:
-    """Rectifying rotation, homographies, bounds and disparity shift of neighbours."""
+    """Rectifying rotation, homographies, bounds and disparity shift of neighbours."""
     height = _height(spark, sf)
     p = camera.rectify_pairs(fx.pairs(fx.cameras(spark, sf))).join(F.broadcast(height))
     p = p.withColumn("shift", camera.disparity_shift(F.col("mean_flying_height")))
@@ -490,11 +500,21 @@ def q_rectification(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.col("left_img_id").alias("base"), F.col("right_img_id").alias("side"), *m, *[rounded(F.col(c)).alias(c) for c in ("x_min", "x_max", "y_min", "y_max")], "out_rows", "out_cols", "shift")
 
 
+@query(f"WITH {fx.CAMERA_SQL}, pair AS (SELECT img_id AS img_pair_id, img_id + 7000 AS rect_param_id FROM cam WHERE img_id % 10 <> 9), prm AS (SELECT img_id + 7000 AS rect_param_id, c AS f, cx FROM cam WHERE img_id % 3 <> 0) SELECT img_pair_id, rect_param_id, f, cx FROM pair JOIN prm USING (rect_param_id)")
+def q_rectification_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored rectification of pairs."""
+    i, k = F.col("img_id"), F.col("camera_matrix")
+    cams = fx.cameras(spark, sf)
+    pair = cams.filter(i % 10 != 9).select(i.alias("img_pair_id"), (i + 7000).alias("rect_param_id"))
+    params = cams.filter(i % 3 != 0).select((i + 7000).alias("rect_param_id"), k[0][0].alias("f"), k[0][2].alias("cx"))
+    return catalog.rectification(pair, params).select("img_pair_id", "rect_param_id", "f", "cx")
+
+
 # --- kernels (no SQL twin) -------------------------------------------------------------------
 
 
 def _tile_arrays(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.table(spark, sf, "embeddings").withColumn("e", F.slice("embedding", 1, fx.SIDE * fx.SIDE)).filter(F.size("e") == fx.SIDE * fx.SIDE)
+    return fx.whole_tiles(spark, sf)
 
 
 @query()
@@ -510,7 +530,7 @@ def q_clean_mask(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def q_warp(spark: SparkSession, sf: str) -> DataFrame:
-    """Tiles under a projective map, by output tiles."""
+    """Tiles through a projective map, by output tiles."""
     from ..operators.warping import warp_tiles
 
     bytes_ = F.pandas_udf(lambda many: many.map(lambda e: np.asarray(e, "<f4").tobytes()), T.BinaryType())  # as readers give them
@@ -539,20 +559,39 @@ def q_semi_global(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def q_multiview_cloud(spark: SparkSession, sf: str) -> DataFrame:
-    """Coloured points of bases with one side each, through rectified space, without the footprint mask of C6."""
-    from ..operators.reconstruction import cloud
-
-    height = _height(spark, sf)
-    p = camera.rectify_pairs(fx.pairs(fx.cameras(spark, sf)))
+    """Coloured points of bases with up to two sides, through rectified space, where every side's mask and
+    eroded footprint hold (C6: G5, G9, G12, G14, G16, A6, A7, J8, J11)."""
+    from ..operators import reconstruction
+
+    views, geometry, images, pairs_ = multiview_inputs(spark, sf)
+    out = reconstruction.clouds(views, geometry, images, pairs_, 5.0)
+    return out.select("base", *[(F.floor(F.col(c) * num(1e3) + num(0.5)) / num(1e3)).alias(c) for c in triangulation.WORLD], "views", "r", "g", "b")
+
+
+def multiview_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Views, geometry, images and pairs of bases that see their neighbours on both sides.
+
+    A base's image is one 8 x 8 block of its vector, in a place that moves with its number. The cameras
+    fly four times as high as elsewhere, so that a base shares ground with both neighbours.
+    """
+    height = _height(spark, sf).select((F.col("mean_flying_height") * 4).alias("mean_flying_height"))
+    cams = fx.cameras(spark, sf).join(F.broadcast(height)).withColumn("geobound", camera.footprint(F.col("mean_flying_height"))).drop("mean_flying_height")
+    one = fx.pairs(cams)
+    names = {c: c.replace("left_", "right_") if c.startswith("left_") else c.replace("right_", "left_") for c in one.columns}
+    both = one.unionByName(one.select(*[F.col(c).alias(n) for c, n in names.items()]))
+    p = camera.rectify_pairs(both).join(F.broadcast(height))  # one row
     shift = Mat.of("H_shift")
-    views = p.withColumns({"left_map": (Mat.of("H1") @ shift).held(), "right_map": (Mat.of("H2") @ shift).held()})
-    views = views.select(F.col("left_img_id").alias("base"), F.col("right_img_id").alias("side"), F.col("left_camera_matrix").alias("k"), "left_map", "right_map", "left_rotation_matrix", "right_rotation_matrix", *[f"{s}_{a}" for s in ("left", "right") for a in "xyz"])
-    px = fx.tiles(spark, sf).select(F.col("vec_id").alias("base"), "y", "x", "d")
-    pairs_ = views.select("base", "side")
+    p = p.withColumns({"left_map": (Mat.of("H1") @ shift).held(), "right_map": (Mat.of("H2") @ shift).held()})
+    geometry = p.withColumns({"base": F.col("left_img_id").cast("string"), "side": F.col("right_img_id").cast("string")})
+    pairs_ = geometry.select("base", "side")
+    i = F.col("vec_id")
+    floats = F.pandas_udf(lambda many: many.map(lambda e: np.asarray(e, "<f4").tobytes()), T.BinaryType())
+    block = [(100 + 8 * (i % 40)).cast("int").alias("y0"), (200 + 8 * (i % 50)).cast("int").alias("x0"), F.lit(fx.SIDE).alias("h"), F.lit(fx.SIDE).alias("w")]
+    px = _tile_arrays(spark, sf).select(i.cast("string").alias("base"), *block, "e")
     # ground at the flying height lies at a disparity near focal length * base / height
-    far = pairs_.join(px, "base").join(F.broadcast(height)).withColumn("d", num(fx.FOCAL * 40) / F.col("mean_flying_height") + F.col("d"))
-    masks = far.select("base", "side", "y", "x", raster.consistent(F.abs(F.col("d")) - num(400), 50.0).alias("mask"))
-    n_sides = pairs_.groupBy("base").agg(F.count(F.lit(1)).alias("n_sides"))
-    colours = px.select("base", "y", "x", F.lit(1).alias("r"), F.lit(2).alias("g"), F.lit(3).alias("b"))
-    out = cloud(far.select("base", "side", "y", "x", "d"), masks, n_sides, views, colours)
-    return out.select("base", "y", "x", *[(F.floor(F.col(c) * num(1e3) + num(0.5)) / num(1e3)).alias(c) for c in triangulation.WORLD], "views", "r", "g", "b")
+    met = geometry.select("base", "side", "mean_flying_height").join(px, "base")
+    two = F.flatten(F.transform("e", lambda d: F.array((num(fx.FOCAL * 40) / F.col("mean_flying_height") + d).cast("float"), F.when(F.abs(d) < 0.6, F.lit(1.0)).otherwise(F.lit(0.0)).cast("float"))))
+    views = met.select("base", "side", "y0", "x0", "h", "w", floats(two).alias("data"))
+    three = F.flatten(F.transform("e", lambda d: F.array(*[(F.abs(d) * num(k) % num(1)).cast("float") for k in (1, 7, 13)])))
+    images = px.select(F.col("base").alias("img"), "y0", "x0", "h", "w", floats(three).alias("data"))
+    return views, geometry, images, pairs_

@@ -1,4 +1,4 @@
-"""Schemas of the catalog's tables and of rasters and points."""
+"""Schemas of the catalog's tables."""
 
 from __future__ import annotations
 
@@ -13,6 +13,3 @@ CATALOG = {
     "multi_stereo": "ms_id INT, base_img_id INT, overlapping_bounds ARRAY<INT>, pc_ready BOOLEAN, pc_id INT",
     "point_cloud": f"pc_id INT, pc_name STRING, footprint {MATRIX}, n_points BIGINT",
 }
-
-TILE = "img STRING, ty INT, tx INT, y0 INT, x0 INT, h INT, w INT, bands INT, data ARRAY<FLOAT>"
-POINTS = "base STRING, y INT, x INT, X DOUBLE, Y DOUBLE, Z DOUBLE, r SMALLINT, g SMALLINT, b SMALLINT, views SMALLINT"

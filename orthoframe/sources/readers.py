@@ -19,7 +19,7 @@ CALIBRATION = {
 
 
 def read_calibration(spark: SparkSession, path: str) -> DataFrame:
-    """A camera for each line of a file of columns separated by white space, under a header that
+    """A camera for each line of a file of columns separated by white space, after a header that
     starts with ``#label``; ``ord`` keeps the lines' order. Columns may stand in any order."""
     lines = spark.read.text(path, wholetext=False).filter(F.trim("value") != "")
     head = lines.filter(F.trim("value").startswith("#label")).first()

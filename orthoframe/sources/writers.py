@@ -54,7 +54,7 @@ def append_ply(points: DataFrame, path: str, old: int) -> int:
 def join_ply(spark: SparkSession, path: str, file: str) -> None:
     """Makes one PLY file of a cloud's header and vertices; bytes are streamed, not held.
 
-    The file appears under its name when it is whole.
+    The file gets its name when it is whole.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path

@@ -103,7 +103,7 @@ def test_rectified_points_share_rows_and_triangulate_back(spark, survey):
             key = (q["left_img_id"], len(rows))
             world[key] = point
             rows.append((*key, float(pixel[0][0]), float(pixel[0][1]), float(a[0] - b[0]), q["left_img_id"]))
-        # a point under the left principal point at the flying height has the disparity of the shift
+        # a point below the left principal point at the flying height has the disparity of the shift
         assert isinstance(q["shift"], int)
     shift = Mat.of("H_shift")
     views = p.withColumns({"left_map": (Mat.of("H1") @ shift).column(), "right_map": (Mat.of("H2") @ shift).column()}).withColumn("k", F.col("left_camera_matrix"))
