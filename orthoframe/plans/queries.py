@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from ..functions import camera, rings
 from ..functions.linalg import Mat, midpoint, num, rounded
 from ..operators import catalog, metrics, raster, spatial, triangulation
+from ..sources import readers, writers
+from ..staging import new_folder
 from . import fixtures as fx
 from . import rectify_sql
 
@@ -510,6 +512,91 @@ def q_rectification_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.rectification(pair, params).select("img_pair_id", "rect_param_id", "f", "cx")
 
 
+# --- sources, sinks and the catalog, written and read back --------------------------------------
+
+
+@query(f"WITH {fx.CAMERA_SQL} SELECT img_name, x, y, z, c, cx AS x0, -cy AS y0, {', '.join(f'{r(f"degrees({a})")} AS {n}' for a, n in (('o', 'omega'), ('p', 'phi'), ('k', 'kappa')))} FROM cam")
+def q_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    """Cameras as calibration text, read again."""
+    path = new_folder(spark, "calibration")
+    names = {v: k for k, v in readers.CALIBRATION.items()}
+    own = ["img_name", "x", "y", "z", "c", "x0", "y0", "omega", "phi", "kappa"]
+    rows = fx.cameras(spark, sf).select(*own, *[F.lit(0).alias(n) for n in names if n not in own])
+    line = F.concat_ws("  ", *[F.col(n) for n in names])
+    head = spark.createDataFrame([("  ".join(names[n] for n in names),)], "value string")
+    head.unionByName(rows.select(line.alias("value"))).write.text(path)
+    read = readers.read_calibration(spark, path)
+    return read.select(*own[:7], *[rounded(F.col(c)).alias(c) for c in own[7:]])
+
+
+@query("SELECT printf('%f', l_extendedprice)::FLOAT::DOUBLE AS x, printf('%f', l_quantity)::FLOAT::DOUBLE AS y, printf('%f', l_discount)::FLOAT::DOUBLE AS z FROM lineitem")
+def q_ply_cloud(spark: SparkSession, sf: str) -> DataFrame:
+    """A cloud written, appended to, joined into one file, and read again."""
+    path = new_folder(spark, "cloud")
+    points = fx.points(spark, sf)
+    n = writers.write_ply(points.filter("l_linenumber <= 3"), path)
+    writers.append_ply(points.filter("l_linenumber > 3"), path, n)
+    writers.join_ply(spark, path, f"{path}/whole.ply")
+    return readers.read_ply(spark, f"{path}/whole.ply")
+
+
+@query(f"WITH {fx.TILE_SQL} SELECT vec_id, y, x, {r('d')} AS d FROM px")
+def q_raster_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Rasters cached in two goes, of which the second leaves the first's, and read again."""
+    path = new_folder(spark, "rasters")
+    floats = F.pandas_udf(lambda many: many.map(lambda e: np.asarray(e, "<f4").tobytes()), T.BinaryType())
+    rows = _tile_arrays(spark, sf).select((F.col("vec_id") % 4).cast("string").alias("base"), F.lit("s").alias("side"), F.lit(0).alias("y0"), F.col("vec_id").cast("int").alias("x0"), F.lit(8).alias("h"), F.lit(8).alias("w"), floats("e").alias("data"))
+    writers.write_raster(rows.filter("base < '2'"), path)
+    writers.write_raster(rows.filter("base >= '2'"), path)
+    values = F.pandas_udf(lambda many: many.map(lambda b: np.frombuffer(b, "<f4")), T.ArrayType(T.FloatType()))
+    read = writers.cached(spark, path, ["base", "side"], "y0 int, x0 int, h int, w int, data binary").select(F.col("x0").cast("long").alias("vec_id"), values("data").alias("e"))
+    return raster.explode_tile(read, "e", fx.SIDE, ["vec_id"]).select("vec_id", "y", "x", rounded(F.col("d")).alias("d"))
+
+
+def _built(spark: SparkSession, sf: str) -> catalog.Catalog:
+    from ..operators.reconstruction import build_catalog
+
+    las = fx.table(spark, sf, "lineitem").select(F.col("l_quantity").alias("z"))
+    return build_catalog(spark, new_folder(spark, "catalog"), fx.cameras(spark, sf).withColumn("ord", F.col("img_id")).drop("img_id"), las)
+
+
+@query(
+    f"WITH {_FOOT_SQL} SELECT row_number() OVER (ORDER BY img_id)::INT AS img_id, img_name, nrows, ncols, x, y, z, "
+    + ", ".join(f"{r(f'{a}{i}')} AS {a}{i}" for i in range(4) for a in "xy")
+    + f", {r('r00')} AS r00, {r('zf')} AS mean_flying_height, (SELECT min(x) FROM cam) AS x_shift FROM foot"
+)
+def q_catalog_build(spark: SparkSession, sf: str) -> DataFrame:
+    """A catalog built from cameras and ground heights, read again."""
+    cat = _built(spark, sf)
+    g = F.col("geobound")
+    rows = cat.read("image").join(cat.read("image_param"), "img_param_id").join(F.broadcast(cat.read("globals")))  # one row
+    return rows.select(
+        "img_id", "img_name", "nrows", "ncols", "x", "y", "z", *[rounded(g[i][a]).alias(f"{'xy'[a]}{i}") for i in range(4) for a in range(2)],
+        rounded(F.col("rotation_matrix")[0][0]).alias("r00"), rounded(F.col("mean_flying_height")).alias("mean_flying_height"), "x_shift",
+    )
+
+
+@query(
+    f"WITH {rectify_sql.layers(_HEIGHT_SQL)}, known AS (SELECT img_id, row_number() OVER (ORDER BY img_id) AS n FROM cam) "
+    f"SELECT row_number() OVER (ORDER BY a.n, b.n)::INT AS img_pair_id, a.n::INT AS base_img_id, b.n::INT AS side_img_id, {r('q00')} AS r00, {r('h02')} AS h102, {r('k12')} AS h212, ceil(x_min) AS shift_x, c AS f "
+    "FROM rect JOIN known a ON a.img_id = base JOIN known b ON b.img_id = side"
+)
+def q_insert_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs added to a catalog with their rectification, in two goes, and read again."""
+    from ..operators.reconstruction import insert_pairs
+
+    cat = _built(spark, sf)
+    image = cat.read("image")
+    number = F.regexp_extract("img_name", "[0-9]+", 0).cast("int")
+    ids = image.select(F.col("img_id"), number.alias("n"))
+    pairs = ids.filter("n % 10 <> 9").select(F.col("img_id").alias("base_img_id"), (F.col("n") + 1).alias("n")).join(ids.withColumnRenamed("img_id", "side_img_id"), "n").drop("n")
+    insert_pairs(cat, pairs)
+    insert_pairs(cat, pairs)  # all are known: nothing is added
+    rows = cat.read("image_pair").join(cat.read("rectification_param"), "rect_param_id")
+    m = lambda h, i, j: rounded(F.col(h)[i][j])
+    return rows.select("img_pair_id", "base_img_id", "side_img_id", m("r", 0, 0).alias("r00"), m("h1", 0, 2).alias("h102"), m("h2", 1, 2).alias("h212"), F.col("h_shift")[0][2].alias("shift_x"), F.col("k")[0][0].alias("f"))
+
+
 # --- kernels (no SQL twin) -------------------------------------------------------------------
 
 
@@ -528,17 +615,31 @@ def q_clean_mask(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("vec_id", F.posexplode("mask").alias("pos", "mask")).filter("mask = 1").select("vec_id", "pos")
 
 
-@query()
+_WARP = ((1.0, 0.1, 0.5), (-0.1, 1.0, 0.25), (0.001, 0.0, 1.0))
+_WARP_SQL = ", ".join(f"{' + '.join(f'{m}::DOUBLE * {n}' for m, n in zip(row, ('x', 'y', '1'), strict=True))} AS {name}" for row, name in zip(_WARP, "uvw", strict=True))
+
+
+@query(
+    f"""WITH {fx.TILE_SQL}, o AS (SELECT y::INT AS y, x::INT AS x, {_WARP_SQL} FROM range(0, 10) a(y), range(0, 9) b(x)),
+place AS (SELECT y, x, floor(u / w)::INT AS x0, floor(v / w)::INT AS y0, u / w - floor(u / w) AS fx, v / w - floor(v / w) AS fy FROM o),
+near AS (SELECT y, x, y0 + dy AS sy, x0 + dx AS sx, (CASE dx WHEN 0 THEN 1 - fx ELSE fx END) * (CASE dy WHEN 0 THEN 1 - fy ELSE fy END) AS weight, 2 * dy + dx AS k FROM place, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) n(dy, dx)),
+part AS (SELECT vec_id, near.y, near.x, k, d * weight AS t FROM near JOIN px ON px.y = sy AND px.x = sx),
+total AS (SELECT vec_id, y, x, sum(t ORDER BY k) AS t FROM part GROUP BY vec_id, y, x)
+SELECT v.vec_id, o.y, o.x, {r('coalesce(t, 0)::FLOAT::DOUBLE')} AS d FROM (SELECT DISTINCT vec_id FROM px) v CROSS JOIN o LEFT JOIN total USING (vec_id, y, x)"""
+)
 def q_warp(spark: SparkSession, sf: str) -> DataFrame:
-    """Tiles through a projective map, by output tiles."""
+    """Pixels of tiles through a projective map, by output tiles."""
     from ..operators.warping import warp_tiles
 
-    bytes_ = F.pandas_udf(lambda many: many.map(lambda e: np.asarray(e, "<f4").tobytes()), T.BinaryType())  # as readers give them
+    floats = F.pandas_udf(lambda many: many.map(lambda e: np.asarray(e, "<f4").tobytes()), T.BinaryType())  # as readers give them
     name = F.col("vec_id").cast("string")
-    tiles = _tile_arrays(spark, sf).select(name.alias("img"), F.lit(0).alias("ty"), F.lit(0).alias("tx"), F.lit(8).alias("h"), F.lit(8).alias("w"), bytes_("e").alias("data"))
-    matrix = F.array(*[F.array(*map(num, row)) for row in ((1.0, 0.1, 0.5), (-0.1, 1.0, 0.25), (0.001, 0.0, 1.0))])
+    tiles = _tile_arrays(spark, sf).select(name.alias("img"), F.lit(0).alias("ty"), F.lit(0).alias("tx"), F.lit(8).alias("h"), F.lit(8).alias("w"), floats("e").alias("data"))
+    matrix = F.array(*[F.array(*map(num, row)) for row in _WARP])
     maps = tiles.select("img", F.col("img").alias("out"), matrix.alias("matrix"), F.lit(10).alias("rows"), F.lit(9).alias("cols"))
-    return warp_tiles(tiles, maps, 8).select("out", "ty", "tx", "h", "w", F.crc32("data").alias("crc"))
+    values = F.pandas_udf(lambda many: many.map(lambda b: np.frombuffer(b, "<f4")), T.ArrayType(T.FloatType()))
+    out = warp_tiles(tiles, maps, 8).select(F.col("out").cast("long").alias("vec_id"), "ty", "tx", "w", F.posexplode(values("data")).alias("pos", "d"))
+    at = [(F.col("ty") * 8 + F.floor(F.col("pos") / F.col("w"))).cast("int").alias("y"), (F.col("tx") * 8 + F.col("pos") % F.col("w")).cast("int").alias("x")]
+    return out.select("vec_id", *at, rounded(F.col("d").cast("double")).alias("d"))
 
 
 @query()

@@ -24,9 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _local[0]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, where nothing lies yet."""
+    return f"{shared_folder(spark)}/orthoframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` written and read back: computed once, with true sizes, and safe from lost executors."""
     spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/orthoframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
