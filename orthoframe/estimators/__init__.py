@@ -75,25 +75,38 @@ def load_network(model_path: str, make: Callable | None = None):
 
 @register("CNN")
 def network_estimator(model_path: str, make: Callable | None = None) -> Estimator:
-    """A stereo network from a file, loaded once in a task (:func:`load_network`).
+    """A stereo network from a file, loaded once in a task: an ``.npz`` file of weights for the network of
+    :mod:`.network`, which needs NumPy alone, or a file for :func:`load_network`.
 
     Images are normalised and padded at top and right to multiples of 128, and the result cut.
     """
-    import torch
+    if str(model_path).endswith(".npz"):
+        from .network import Network, sized
+
+        own = Network.load(str(model_path))
+
+        def solve(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            disparity, valid = own(left, right)
+            return disparity, sized(valid, *disparity.shape)
+    else:
+        import torch
+
+        model = load_network(model_path, make)
 
-    model = load_network(model_path, make)
+        def solve(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            with torch.no_grad():
+                out = model(*[torch.from_numpy(x[None].astype(np.float32)) for x in (left, right)])[0, 0].numpy()
+            return out, np.ones_like(out)
 
-    def tensor(image: np.ndarray) -> torch.Tensor:
+    def ready(image: np.ndarray) -> np.ndarray:
         h, w = image.shape[:2]
         data = np.pad((image - MEAN) / SPREAD, [(-h % MULTIPLE, 0), (0, -w % MULTIPLE), (0, 0)], mode="edge")
-        return torch.from_numpy(data.transpose(2, 0, 1)[None].astype(np.float32))
+        return data.transpose(2, 0, 1)
 
     def run(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h, w = left.shape[:2]
-        with torch.no_grad():
-            out = model(tensor(left), tensor(right))[0, 0].numpy()
-        cut = np.maximum(out[out.shape[0] - h :, :w], 0.0)
-        return cut, np.ones_like(cut)
+        disparity, mask = (x[x.shape[0] - h :, :w] for x in solve(ready(left), ready(right)))
+        return np.maximum(disparity, 0.0), np.maximum(mask, 0.0)
 
     return run
 

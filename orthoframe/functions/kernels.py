@@ -163,14 +163,21 @@ def clean_mask(valid: np.ndarray) -> np.ndarray:
     return (~closing(bad, 3)).astype(float)
 
 
+#: Fixed value: what keeps the sum of an attention's row from zero.
+ATTENTION_EPSILON = 1e-8
+
+
 def attend(scores: np.ndarray, forward: bool = True) -> np.ndarray:
-    """Softmax over the last axis where index j <= i (forward) or j >= i, else zero."""
+    """Softmax over the last axis where index j <= i (forward) or j >= i, else zero.
+
+    Scores elsewhere count as zero for the largest that all are taken from.
+    """
     n = scores.shape[-1]
     i, j = np.mgrid[0:n, 0:n]
     allowed = j <= i if forward else j >= i
-    masked = np.where(allowed, scores, -np.inf)
-    e = np.exp(masked - masked.max(axis=-1, keepdims=True))
-    return e / e.sum(axis=-1, keepdims=True)
+    kept = np.where(allowed, scores, 0)
+    e = np.where(allowed, np.exp(kept - kept.max(axis=-1, keepdims=True)), 0)
+    return e / (e.sum(axis=-1, keepdims=True) + ATTENTION_EPSILON)
 
 
 def received(att: np.ndarray, least: float = 0.1) -> np.ndarray:
