@@ -235,7 +235,7 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     rows = with_chance(docs.withColumn(key, digest(F.col(text_column))), key, hot, maybe)
     single = rows.filter(~F.col(maybe)).select(names)
     same = (F.col(key) == F.col(keep_key)) & F.col(id_column).eqNullSafe(F.col(keep))  # both: no key is hot
-    kept = rows.filter(maybe).join(stay, same)
+    kept = rows.filter(maybe).join(stay.hint("merge"), same)  # grows with the documents
     if stay.filter(F.col(n) > 1).isEmpty():
         return single.unionByName(kept.select(names))
     by_content = Window.partitionBy(key, id_column).orderBy(F.xxhash64(*[F.col(c) for c in names]))

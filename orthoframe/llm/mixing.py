@@ -241,10 +241,10 @@ def mix(
     groups = found.groupBy(key, src).agg(F.sum(n).alias("rows")).filter("rows > 1").select(F.col(key).alias("k"), F.col(src).alias("s"))
     groups = materialize(groups, "mix-repeated")
     if groups.isEmpty():
-        return times(docs.join(found.withColumn(copies, F.col(total)).filter(F.col(copies) > 0), same))
+        return times(docs.join(found.withColumn(copies, F.col(total)).filter(F.col(copies) > 0).hint("merge"), same))  # grows with the documents
     repeated = F.col(key).eqNullSafe(F.col("k")) & F.col(src).eqNullSafe(F.col("s"))
     alone = found.join(groups, repeated, "left_anti").withColumn(copies, F.col(total)).filter(F.col(copies) > 0)
-    once = times(docs.join(alone, same))
+    once = times(docs.join(alone.hint("merge"), same))
     measure = F.coalesce(n_words(F.col("text")) if size is None else size, F.lit(0)).cast("long")
     wide = F.struct(*[F.col(c) for c in names]).alias("row")
     of = docs.select(wide, F.col(id_column).alias("id"), F.col(source_column).alias("source"), measure.alias("size"))

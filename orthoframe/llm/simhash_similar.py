@@ -27,6 +27,8 @@ their first document by a grouped minimum that is broadcast, so that no task gat
 
 Step 3 compares all members of a bucket that no link joined, which is quadratic in their number.
 
+Tables of sketches and sets grow with the documents; joins with them shuffle at every size.
+
 Equal word sequences are one node from the start. Links and prefixes stay distributed.
 """
 
@@ -195,7 +197,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs (a, b) whose sizes and sketches allow a link."""
     out = pairs.distinct()
     for side in "ab":
-        out = out.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+        out = out.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")).hint("merge"), side)
     # sizes that allow a link are within a factor of 1 / similarity, so for 0.5 and more sketches are at most doubled
     out = out.filter(F.least("n_a", "n_b") + 1e-6 >= F.greatest("n_a", "n_b") * F.lit(similarity))
     half = F.least(F.size("sketch_a"), F.size("sketch_b"))
@@ -213,7 +215,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
 def _across(named: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs (a, b) of a bucket with different labels that may be linked."""
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    again = materialize(named.join(mixed, "key").join(nodes.select("node", "folded"), "node"), "similar-mixed")
+    again = materialize(named.join(mixed, "key").join(nodes.select("node", "folded").hint("merge"), "node"), "similar-mixed")
     sides = [again.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "at", "label", "folded")]) for side in "ab"]
     # shingles that both may share, from the bucket's on, against those that they need
     rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
@@ -233,7 +235,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     sets = materialize(_shingle_sets(texts.join(needed, "id", "left_semi"), width), "similar-sets")
     out = pairs
     for side in "ab":
-        out = out.join(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
+        out = out.join(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"set_{side}")).hint("merge"), side)
     shared = F.size(F.array_intersect("set_a", "set_b"))
     joint = F.size("set_a") + F.size("set_b") - shared
     out = materialize(out.filter(shared >= F.lit(similarity) * joint).select("a", "b"), "similar-links")
@@ -258,12 +260,11 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     nodes = twins.select("node", "of.*")
     same = materialize(rows.select("id", "twin").join(twins.select("twin", "node"), "twin").select("id", "node"), "similar-same")
     drop_table(rows)
-    own = texts.join(twins.select(F.col("node").alias("id")), "id", "left_semi")
     met = materialize(_buckets(nodes), "similar-buckets")
     star = met.filter("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
     balls = materialize(_balls(nodes), "similar-balls")
     release(texts)
-    first = _verified(_near(star.unionByName(balls), nodes, similarity), own, width, similarity)
+    first = _verified(_near(star.unionByName(balls), nodes, similarity), texts, width, similarity)
     drop_table(balls)
     roots = components(first)
     named = met.join(roots, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("label"))
@@ -271,7 +272,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     drop_table(met)
     release(texts)
     across = _across(named, nodes, similarity)
-    second = _verified(across, own, width, similarity)
+    second = _verified(across, texts, width, similarity)
     repeats = same.filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     found = components(first.unionByName(second).unionByName(repeats))
     out = materialize(same.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component")), "similar-components")
