@@ -232,7 +232,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     """Pairs whose shingle sets have at least the similarity; sets are made for their documents only."""
     pairs = materialize(pairs, "similar-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(_shingle_sets(texts.join(needed, "id", "left_semi"), width), "similar-sets")
+    sets = materialize(_shingle_sets(texts.join(needed.hint("merge"), "id", "left_semi"), width), "similar-sets")
     out = pairs
     for side in "ab":
         out = out.join(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"set_{side}")).hint("merge"), side)
